@@ -55,13 +55,73 @@ FROM m GROUP BY r, doc_id
 """
 
 
+#: Tools of the chat query; the conversations name their calls by these schemas.
+TOOLS = [
+    ("search", "query", "string", True),
+    ("search", "limit", "integer", False),
+    ("calculate", "expression", "string", True),
+    ("fetch", "url", "string", True),
+]
+
+
+def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quayside.llm.chat_format import TOOL_SCHEMA, format_chats
+
+    return format_chats(table(spark, sf_dir, "conversations"), spark.createDataFrame(TOOLS, TOOL_SCHEMA))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quayside.llm.decontaminate import decontaminate
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate(docs, table(spark, sf_dir, "benchmark")).select("doc_id", "contaminated", "n_items", "items", "share")
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quayside.llm.secret_scan import BASE_RULES, scan_secrets, spans_text
+
+    docs = scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kinds = [r.kind for r in BASE_RULES]
+    count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    base = F.filter("spans", lambda s: s["kind"].isin(kinds))
+    return docs.select("doc_id", *[count(k) for k in kinds], F.sha2(spans_text(base).cast("binary"), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"))
+
+
+#: The rules of the URL query, and the domain labels of its list.
+URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("allow", "example.net/de/8"), ("block", "org/es/")]
+LISTED_LABELS = ["spam-farm", "cheap-pills", "adult-x", "ads-track", "casino-win", "free-bets"]
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quayside.llm.url_filter import filter_urls
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    listed = F.col("host").rlike(rf"(^|\.)({'|'.join(LISTED_LABELS)})\.[^.]+\.[^.]+$")
+    return filter_urls(pages, URL_RULES, listed).select("page_id", "host", "path", "rule", "verdict")
+
+
+OP10_SQL = rf"""
+WITH p AS (SELECT page_id, {LOWER.format("coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '')")} AS host,
+                  coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+r AS (SELECT * FROM (VALUES {", ".join(f"('{v}', '{x}', '{x.split('/', 1)[0]}', '/{x.split('/', 1)[1]}')" for v, x in URL_RULES)}) AS t(what, rule, domain, start)),
+m AS (SELECT p.page_id, p.host, p.path, arg_max(rule, length(rule)) AS rule, arg_max(what, length(rule)) AS what
+      FROM p LEFT JOIN r ON (host = domain OR ends_with(host, '.' || domain)) AND starts_with(path, start) GROUP BY ALL)
+SELECT page_id, host, path, rule, coalesce(what, CASE WHEN regexp_matches(host, '(^|\.)({"|".join(LISTED_LABELS)})\.[^.]+\.[^.]+$') THEN 'block' ELSE 'allow' END) AS verdict
+FROM m
+"""
+
+
 def queries() -> dict:
     return {
         "op1_toxicity": op1_toxicity,
+        "op3_chat_formatting": op3_chat_formatting,
         "op4_exact_dedup": op4_exact_dedup,
+        "op7_decontamination": op7_decontamination,
         "op8_line_dedup": op8_line_dedup,
+        "op9_secret_scan": op9_secret_scan,
+        "op10_url_filter": op10_url_filter,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": OP4_SQL, "op8_line_dedup": OP8_SQL}
+    return {"op4_exact_dedup": OP4_SQL, "op8_line_dedup": OP8_SQL, "op10_url_filter": OP10_SQL}

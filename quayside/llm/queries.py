@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from quayside.llm.common import fold_of, table
 
 
+#: lower() of A-Z alone, and the white space of the contracts.
+LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quayside.llm.toxicity import fit_toxicity, score_toxicity
 
@@ -39,9 +44,6 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(docs).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
 
 
-#: lower() of A-Z alone, and the white space of the contracts.
-LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 OP8_SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
@@ -55,6 +57,25 @@ FROM m GROUP BY r, doc_id
 """
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quayside.llm.jaccard_join import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+#: Shingle sets as lists of words, links, and the least document that links reach.
+OP2_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array({LOWER.format("coalesce(text, '')")}, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+             ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 75 * (x.n + y.n - i)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, (SELECT min(b) FROM r WHERE r.a = d.doc_id) AS component_id FROM d LEFT JOIN n USING (doc_id)
+"""
+
+
 #: Tools of the chat query; the conversations name their calls by these schemas.
 TOOLS = [
     ("search", "query", "string", True),
@@ -70,6 +91,12 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_chats(table(spark, sf_dir, "conversations"), spark.createDataFrame(TOOLS, TOOL_SCHEMA))
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quayside.llm.sentencepiece_fst import encode_pieces
+
+    return encode_pieces(table(spark, sf_dir, "documents").select("doc_id", "text"), with_ids=False).drop("text")
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quayside.llm.decontaminate import decontaminate
 
@@ -114,8 +141,10 @@ FROM m
 def queries() -> dict:
     return {
         "op1_toxicity": op1_toxicity,
+        "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
         "op3_chat_formatting": op3_chat_formatting,
         "op4_exact_dedup": op4_exact_dedup,
+        "op5_sentencepiece": op5_sentencepiece,
         "op7_decontamination": op7_decontamination,
         "op8_line_dedup": op8_line_dedup,
         "op9_secret_scan": op9_secret_scan,
@@ -124,4 +153,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": OP4_SQL, "op8_line_dedup": OP8_SQL, "op10_url_filter": OP10_SQL}
+    return {"op2_ngram_jaccard_join": OP2_SQL, "op4_exact_dedup": OP4_SQL, "op8_line_dedup": OP8_SQL, "op10_url_filter": OP10_SQL}

@@ -1,8 +1,8 @@
 """Benchmark decontamination by canonical templates, with DataFrame functions alone.
 
 Numbers, names and units become typed placeholders, so that a question with other parameters has the same template.
-Windows of a few template tokens of every document are hash-joined with those of the benchmark items. A window pair
-also pairs the slots' values; along one alignment (document position less item position) each value of the item must
+Windows of a few template tokens of every document, at a step that misses no qualifying alignment, are hash-joined
+with those of the benchmark items; an alignment found so is compared token by token, with the slots' values. Along one alignment (document position less item position) each value of the item must
 stand for one value of the document, else the alignment is not a re-parameterised copy and counts for nothing. A
 document is contaminated by an item if the windows of its consistent alignments cover ``min_share`` of the item's.
 """
@@ -26,63 +26,97 @@ UNITS = (
 ).split()
 
 
-def _tokens(text: Column, units: list[str]) -> tuple[Column, Column]:
-    """Raw and canonical tokens, aligned one to one."""
-    joined = F.when(text.rlike("[0-9][.,][0-9]"), F.regexp_replace(text, "(?<=[0-9])[.,](?=[0-9])", POINT)).otherwise(text)
-    named = F.regexp_replace(joined, r"(?<=[\p{L}\p{N},;] )\p{Lu}[\p{L}\p{N}]*", NAME)
-    clean = lambda c: F.trim(F.regexp_replace(c, r"[^\p{L}\p{N}]+", " "))
-    raw, low = F.lower(clean(joined)), F.lower(clean(named))
-    digits = low.rlike("[0-9]")
-    numbered = F.regexp_replace(low, rf"(?<![^ ])[0-9][0-9{POINT}]*(?![^ ])", NUM)
-    united = F.regexp_replace(numbered, rf"(?<={NUM} )(?:{'|'.join(units)})(?![^ ])", UNIT)
-    canonical = F.when(digits, united).otherwise(low)
-    split = lambda c: F.when(c == "", F.array().cast("array<string>")).otherwise(F.split(c, " "))
-    return split(raw), split(canonical)
+def exact_stride(window: int, min_share: float) -> int:
+    """Largest step between a document's windows that finds every alignment with ``min_share`` of an item's windows.
+
+    A run of window + step - 1 equal tokens holds a window at one of the steps. If all runs are shorter, each adds at
+    most step - 1 windows, and k of them (the item may continue between runs) stay under the share.
+    """
+    step = 1
+    while step < window and all(k * step < min_share * (k * (window + step - 1) - window + 1) for k in range(2, 60)):
+        step += 1
+    return step
+
+
+def _split(text: Column) -> Column:
+    return F.array_remove(F.split(text, r"[^\p{L}\p{N}]+"), "")
+
+
+def _joined(text: Column) -> Column:
+    return F.when(text.rlike("[0-9][.,][0-9]"), F.regexp_replace(text, "(?<=[0-9])[.,](?=[0-9])", POINT)).otherwise(text)
+
+
+def _raw(text: Column) -> Column:
+    return _split(F.lower(_joined(text)))
 
 
-def _windows(tokens: Column, n: int) -> Column:
-    """Hashes of the windows of ``n`` tokens by position; null without one."""
-    return F.when(F.size(tokens) >= n, F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: F.xxhash64(F.slice(tokens, i, n))))
+def _canonical(text: Column, units: list[str]) -> Column:
+    """Template tokens, aligned one to one with the raw ones."""
+    low = F.lower(F.regexp_replace(_joined(text), r" (?<=[\p{L}\p{N},;] )\p{Lu}[\p{L}\p{N}]*", " " + NAME))
+    numbered = F.regexp_replace(low, rf"(?<![\p{{L}}\p{{N}}])[0-9][0-9{POINT}]*(?![\p{{L}}\p{{N}}])", NUM)
+    united = F.regexp_replace(numbered, rf"(?<={NUM}[^\p{{L}}\p{{N}}]{{1,3}})(?:{'|'.join(units)})(?![\p{{L}}\p{{N}}])", UNIT)
+    return F.when(low.rlike("[0-9]"), _split(united)).otherwise(_split(low))
 
 
-def _slots(raw: Column, canonical: Column) -> Column:
-    """Values of a window's placeholders, in order."""
-    pairs = F.filter(F.arrays_zip(canonical.alias("c"), raw.alias("r")), lambda x: F.substring(x["c"], 1, 1) == NUM[0])
-    return F.transform(pairs, lambda x: F.struct(x["c"].alias("c"), x["r"].alias("r")))
+def _hashes(tokens: str) -> Column:
+    return F.transform(tokens, lambda t: F.xxhash64(t))
+
+
+def _windows(hashes: Column, n: int, step: int) -> Column:
+    """(position, hash) of the windows of ``n`` tokens, from the column of the tokens' hashes; null without one.
+
+    The hashes must be a column of an earlier projection: inside the lambda an expression would run again each time.
+    """
+    places = F.sequence(F.lit(0), F.size(hashes) - n, F.lit(step))
+    return F.when(F.size(hashes) >= n, F.transform(places, lambda i: F.struct(i.alias("pos"), F.xxhash64(*[F.get(hashes, i + k) for k in range(n)]).alias("h"))))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 5, min_share: float = 0.5, max_broadcast: int = 500_000, units: list[str] = UNITS) -> DataFrame:
     """Pairs of documents and the items they leak: __id, __hash, __len, item_id, share.
 
-    Items shorter than a window are one window of their own length. Items without tokens match nothing. Up to
-    ``max_broadcast`` benchmark windows (some 100 bytes each) are broadcast; with more the join shuffles.
+    Items shorter than a window and a step are one window of their own length. Items without tokens match nothing.
+    Up to ``max_broadcast`` benchmark windows (some 30 bytes each) and the items' tokens are broadcast; with more the
+    joins shuffle.
     """
+    step = exact_stride(window, min_share)
     text = F.coalesce(F.col("text"), F.lit(""))
-    raw, canonical = _tokens(text, units)
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), raw.alias("raw"), canonical.alias("tokens")).filter("size(tokens) > 0")
-    items = items.withColumn("n", F.least(F.size("tokens"), F.lit(window)))
-    lengths = sorted(r.n for r in items.select("n").distinct().collect())  # at most ``window`` numbers
-    sides = []
-    for n in lengths:
-        own = items.filter(F.col("n") == n).select("item_id", "raw", "tokens", F.posexplode_outer(_windows(F.col("tokens"), n)).alias("ipos", "h"))
-        sides.append(own.select("item_id", F.lit(n).alias("n"), "ipos", "h", F.slice("tokens", F.col("ipos") + 1, n).alias("iwin"), F.slice("raw", F.col("ipos") + 1, n).alias("iraw"), (F.size("tokens") - n + 1).alias("of")))
-    if not sides:
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text.alias("text")).distinct()
+    items = items.select("item_id", F.xxhash64("item_id", "text").alias("item"), _raw(F.col("text")).alias("iraw"), _canonical(F.col("text"), units).alias("itok"))
+    items = items.filter("size(itok) > 0").withColumn("n", F.when(F.size("itok") < window + step - 1, F.size("itok")).otherwise(F.lit(window)))
+    lengths = sorted((r.n, r.whole) for r in items.select("n", (F.size("itok") < window + step - 1).alias("whole")).distinct().collect())  # a few
+    doc = ["__id", "__hash", "__len"]
+    if not lengths:
         return docs.select(*_row_key(), F.lit(None).cast("long").alias("item_id"), F.lit(0.0).alias("share")).limit(0)
-    small = sum(s.count() for s in sides) <= max_broadcast
-    rows = docs.select(*_row_key(), raw.alias("raw"), canonical.alias("tokens"))
+    rows = docs.select(*_row_key(), text.alias("text"), _canonical(text, units).alias("tokens")).withColumn("hashes", _hashes("tokens"))
+    sides = []
+    for n, whole in lengths:
+        own = items.filter((F.col("n") == n) & ((F.size("itok") < window + step - 1) == F.lit(whole)))
+        side = own.withColumn("hashes", _hashes("itok")).select("item", F.explode_outer(_windows(F.col("hashes"), n, 1)).alias("w")).select("item", F.col("w.pos").alias("ipos"), F.col("w.h").alias("h"))
+        sides.append((n, 1 if whole else step, side))
+    small = sum(side.count() for _, _, side in sides) <= max_broadcast
+    held = (lambda df: F.broadcast(df)) if small else (lambda df: df.hint("shuffle_merge"))
     found = None
-    for n, side in zip(lengths, sides):
-        windows = rows.select("*", F.posexplode_outer(_windows(F.col("tokens"), n)).alias("pos", "h"))
-        pairs = windows.join(F.broadcast(side) if small else side.hint("shuffle_hash"), "h").filter(F.slice("tokens", F.col("pos") + 1, n) == F.col("iwin"))
-        pairs = pairs.select("__id", "__hash", "__len", "item_id", "of", "ipos", (F.col("pos") - F.col("ipos")).alias("diag"),
-                             F.arrays_zip(_slots(F.col("iraw"), F.col("iwin")).alias("i"), _slots(F.slice("raw", F.col("pos") + 1, n), F.col("iwin")).alias("d")).alias("slots"))
+    for n, every, side in sides:
+        windows = rows.select("*", F.explode_outer(_windows(F.col("hashes"), n, every)).alias("w")).select(*doc, "text", "tokens", F.col("w.pos").alias("pos"), F.col("w.h").alias("h"))
+        pairs = windows.join(held(side), "h").join(held(items), "item")
+        places = F.sequence(F.lit(0), F.size("itok") - 1)
+        diag = F.col("pos") - F.col("ipos")
+        equal = F.transform(places, lambda j: F.coalesce(F.get("tokens", diag + j) == F.get("itok", j), F.lit(False)))
+        pairs = pairs.withColumn("diag", diag).withColumn("equal", equal).filter("size(equal) > 0")  # a second use: the column stays one
+        at = F.filter(F.slice(places, F.lit(1), F.size("itok") - n + 1), lambda i: F.forall(F.slice("equal", i + 1, n), lambda x: x))
+        # values of the slots, looked up where the item has any
+        raw = F.when(F.exists("itok", lambda t: F.substring(t, 1, 1) == NUM[0]), _raw(F.col("text")))
+        pairs = pairs.withColumn("at", at).withColumn("raw", raw)
+        in_slot = lambda j: (F.substring(F.get("itok", j), 1, 1) == NUM[0]) & F.exists("at", lambda i: (i <= j) & (j < i + n))  # noqa: E731, B023
+        slot = lambda j: F.struct(F.struct(F.get("itok", j).alias("kind"), F.get("iraw", j).alias("value")).alias("i"), F.get("raw", F.col("diag") + j).alias("d"))
+        slots = F.array_distinct(F.transform(F.filter(places, in_slot), slot))
+        pairs = pairs.filter("size(at) > 0").select(*doc, "item_id", "item", (F.size("itok") - n + 1).alias("of"), "diag", "at", slots.alias("slots"))
         found = pairs if found is None else found.unionByName(pairs)
-    doc = ["__id", "__hash", "__len"]
-    aligned = found.groupBy(*doc, "item_id", "of", "diag").agg(F.collect_set("ipos").alias("at"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
+    aligned = found.groupBy(*doc, "item_id", "item", "of", "diag").agg(F.first("at").alias("at"), F.first("slots").alias("slots"))  # all are equal
     keys = F.size(F.array_distinct(F.transform("slots", lambda s: s["i"])))
-    consistent = aligned.filter(keys == F.size("slots"))
-    per_item = consistent.groupBy(*doc, "item_id", "of").agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("n"))
-    return per_item.select(*doc, "item_id", (F.col("n") / F.col("of")).alias("share")).filter(F.col("share") >= min_share)
+    per_item = aligned.filter(keys == F.size("slots")).groupBy(*doc, "item_id", "item", "of").agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("n"))
+    shares = per_item.select(*doc, "item_id", (F.col("n") / F.col("of")).alias("share")).filter(F.col("share") >= min_share)
+    return shares.groupBy(*doc, "item_id").agg(F.max("share").alias("share"))
 
 
 def _row_key() -> list[Column]:

@@ -97,6 +97,14 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_pieces(table(spark, sf_dir, "documents").select("doc_id", "text"), with_ids=False).drop("text")
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quayside.llm.maxent_lm import score_lm
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_lm(docs, fold_of(F.col("doc_id"), 7) != 2)
+    return scored.select("doc_id", (fold_of(F.col("doc_id"), 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quayside.llm.decontaminate import decontaminate
 
@@ -145,6 +153,7 @@ def queries() -> dict:
         "op3_chat_formatting": op3_chat_formatting,
         "op4_exact_dedup": op4_exact_dedup,
         "op5_sentencepiece": op5_sentencepiece,
+        "op6_lm_scoring": op6_lm_scoring,
         "op7_decontamination": op7_decontamination,
         "op8_line_dedup": op8_line_dedup,
         "op9_secret_scan": op9_secret_scan,

@@ -116,24 +116,35 @@ class Model:
             out.append(np.where(first >= k, back, START))
         return tuple(out)
 
-    @staticmethod
-    def class_rows(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> list[np.ndarray]:
-        return [np.zeros(len(a), np.uint16), _mix(1, a), _mix(2, a, b), _mix(3, b), _mix(4, c)]
+    #: Rows of features of one symbol, and of a class with one symbol, hashed once.
+    ONE = {k: _mix(k, np.arange(START + 1)) for k in (1, 3, 4)}
+    CLASS = _mix(5, np.arange(CLASSES))
+    CLASS_ONE = {k: _mix(k, np.arange(CLASSES)[:, None], np.arange(START + 1)[None, :]) for k in (6, 7)}
 
-    @staticmethod
-    def word_rows(cls: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
-        return [_mix(5, cls), _mix(6, cls, a), _mix(7, cls, b)]
+    @classmethod
+    def class_rows(cls, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> list[np.ndarray]:
+        return [np.zeros(len(a), np.uint16), cls.ONE[1][a], _mix(2, a, b), cls.ONE[3][b], cls.ONE[4][c]]
+
+    @classmethod
+    def word_rows(cls, own: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
+        return [cls.CLASS[own], cls.CLASS_ONE[6][own, a], cls.CLASS_ONE[7][own, b]]
 
     @staticmethod
-    def softmax(table: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
-        """Log probabilities of the outcomes, one row a token."""
-        z = table[rows[0]]
+    def scores(table: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
+        """Sums of the features' weights by outcome, one row a token, the largest being 0."""
+        z = table.take(rows[0], axis=0)
         for r in rows[1:]:
-            z += table[r]
+            z += table.take(r, axis=0)
         z -= z.max(axis=1, keepdims=True)
-        z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
         return z
 
+    @classmethod
+    def log_of(cls, table: np.ndarray, rows: list[np.ndarray], outcome: np.ndarray) -> np.ndarray:
+        """Log probability of each token's outcome."""
+        z = cls.scores(table, rows)
+        own = z[np.arange(len(z)), outcome].astype(float)
+        return own - np.log(np.exp(z, out=z).sum(axis=1))
+
     def log_probability(self, symbols: np.ndarray, first: np.ndarray) -> np.ndarray:
         """log10 of P(class | context), times P(word | class, context) for frequent words, by token."""
         out = np.empty(len(symbols))
@@ -142,11 +153,9 @@ class Model:
             s = symbols[at : at + BATCH]
             a, b, c = (x[at : at + BATCH] for x in back)
             cls = np.where(s < TOP, s // CLASS_WORDS, s - TOP + WORD_CLASSES)
-            z = self.softmax(self.by_class, self.class_rows(a, b, c))
-            own = z[np.arange(len(s)), cls].astype(float)
+            own = self.log_of(self.by_class, self.class_rows(a, b, c), cls)
             top = np.flatnonzero(s < TOP)
-            zw = self.softmax(self.by_word, self.word_rows(cls[top], a[top], b[top]))
-            own[top] += zw[np.arange(len(top)), s[top] % CLASS_WORDS]
+            own[top] += self.log_of(self.by_word, self.word_rows(cls[top], a[top], b[top]), s[top] % CLASS_WORDS)
             out[at : at + BATCH] = own / np.log(10)
         return out
 
@@ -160,15 +169,17 @@ class Trainer(Model):
         self.used = [np.zeros(ROWS, np.float32) for _ in range(2)]
 
     def _step(self, which: int, table: np.ndarray, rows: list[np.ndarray], wanted: np.ndarray) -> None:
-        g = np.exp(self.softmax(table, rows))
+        g = self.scores(table, rows)
+        np.exp(g, out=g)
+        g /= g.sum(axis=1, keepdims=True)
         g[np.arange(len(wanted)), wanted] -= 1
+        squares = self.squares[which]
         for r in rows:
             order = np.argsort(r, kind="stable")
             s = r[order]
             starts = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
-            total = np.add.reduceat(g[order], starts, axis=0)
+            total = np.add.reduceat(g.take(order, axis=0), starts, axis=0) if len(starts) > 1 else g.sum(axis=0, keepdims=True)
             at = s[starts]
-            squares = self.squares[which]
             squares[at] += np.einsum("ij,ij->i", total, total) / total.shape[1]
             table[at] -= RATE * total / np.sqrt(squares[at])[:, None]
             self.used[which][at] += np.diff(np.append(starts, len(s)))

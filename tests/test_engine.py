@@ -144,3 +144,54 @@ def test_queries_match_sql(spark):
         want = con.execute(f"SELECT {columns} FROM ({catalogue.oracle_sql()[name]})").fetchall()
         text = lambda rows: sorted(tuple(f"{x:.5f}" if isinstance(x, float) else str(x) for x in r) for r in rows)
         assert text(df.collect()) == text(want), name
+
+
+def test_landing_round_trip(spark, tmp_path):
+    import gzip
+    import json
+
+    from quayside.sources import landing, manifest, rest
+
+    item = {"observation_id": "1", "observed_at": "2026-08-01T12:00:00+05:00", "retailer_id": "r", "store_id": "s", "city_id": "c", "retailer_product_id": "p", "currency": "KZT", "price": "10.5", "is_available": True, "is_promotion": False}
+    pages = {None: {"items": [item], "has_more": True, "next_cursor": "x"}, "x": {"items": [item | {"observation_id": "2"}, item], "has_more": False, "next_cursor": None}}
+    source = tmp_path / "in.ndjson.gz"
+    assert rest.ingest(rest.iter_items(lambda e, p: pages[p.get("cursor")], "observations", {}), source) == 2
+    with gzip.open(source, "rt") as f:
+        assert len(f.readlines()) == 2
+    with pytest.raises(rest.ProtocolError):
+        list(rest.iter_items(lambda e, p: {"items": [], "has_more": True, "next_cursor": "x"}, "o", {}))
+    path = landing.package_landing(spark, str(source), str(tmp_path / "out"), "e", "2026-09-01T00:00:00Z")
+    obs, cov, _ = manifest.load_exports(spark, [path])
+    assert obs.count() == 2 and cov is None and obs.first().price == 10.5
+    bad = json.loads(path.read_text())
+    bad["files"][0]["path"] = "../outside"
+    path.write_text(json.dumps(bad))
+    with pytest.raises(manifest.ManifestError, match="leaves"):
+        manifest.verify_manifest(path)
+    (tmp_path / "bad.ndjson").write_text(json.dumps(item | {"price": "0"}))
+    with pytest.raises(contract.ContractError, match="price"):
+        landing.read_ndjson(spark, str(tmp_path / "bad.ndjson"))
+
+
+def test_stream_drops_repeats(spark, tmp_path):
+    from quayside.streaming.landing import run_batches, stream_events
+
+    rows = events(spark, [(1, 0, 100), (1, 0, 100), (2, 1, 110)])
+    rows.write.parquet(str(tmp_path / "in"))
+    seen = []
+    run_batches(stream_events(spark, str(tmp_path / "in"), SCHEMA), lambda df, i: seen.append(df.count()), str(tmp_path / "cp")).awaitTermination(60)
+    assert sum(seen) == 2
+
+
+def test_nowcast_ignores_late_vintages(spark):
+    from quayside.operators.nowcast import evaluate_nowcast
+
+    months = [dt.date(2024 + k // 12, k % 12 + 1, 1) for k in range(20)]
+    after = lambda m, d: dt.datetime.combine(m, dt.time()) + dt.timedelta(days=d)
+    f = spark.createDataFrame([(m, after(m, 30), float(k % 5), float(k % 3)) for k, m in enumerate(months)], "month date, available_at timestamp, index_change double, diffusion_signal double")
+    t = [(m, after(m, 45), 2.0 * (k % 5) + (k % 3)) for k, m in enumerate(months)]
+    make = lambda rows: spark.createDataFrame(rows, "month date, released_at timestamp, value double")
+    one = evaluate_nowcast(f, make(t))
+    two = evaluate_nowcast(f, make(t + [(m, after(m, 4000), 99.0) for m in months]))
+    assert one == two and one["status"] == "complete" and one["models"]["index_and_diffusion"]["rmse"] < one["models"]["historical_mean"]["rmse"]
+    assert evaluate_nowcast(f, make(t), 50)["status"] == "insufficient_history"

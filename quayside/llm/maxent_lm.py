@@ -77,8 +77,14 @@ def count_tokens(docs: DataFrame) -> DataFrame:
 
 
 def build_vocabulary(counts: DataFrame, known_words: int) -> Vocabulary:
-    """``known_words`` rows reach the driver, and a few sums."""
-    top = [(bytes(r.word), r.n) for r in counts.orderBy(F.desc("n"), "word").limit(known_words).collect()]
+    """At most ``known_words`` rows reach the driver: those of the highest count levels that fit, and a few sums."""
+    level = F.floor(F.log2(F.col("n").cast("double")) * 16).cast("int")
+    left, least = known_words, 1 << 30
+    for r in sorted(counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("v")).collect(), key=lambda r: -r.level):  # 16 an octave
+        if r.v > left:
+            break
+        left, least = left - r.v, r.level
+    top = sorted(((bytes(r.word), r.n) for r in counts.filter(level >= least).collect()), key=lambda x: (-x[1], x[0]))
     total = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
     ending: Column = F.substring("word", -3, 3)
     cls = F.pmod(F.crc32(F.when(F.length("word") <= 3, F.col("word")).otherwise(ending)), F.lit(RARE_CLASSES)).cast("int")
@@ -310,7 +316,7 @@ def score_lm(docs: DataFrame, training: Column, known_words: int = 200_000) -> D
 
     near = cut(rows.select("doc_id", "text").mapInArrow(run, SCORED_DDL), "lm-scored")
     far = near.select("rid", F.explode("far").alias("f")).select("rid", F.col("f.word").alias("word"), F.col("f.n").alias("tf"))
-    rest = counts if vocabulary.words > known_words else counts.limit(0)
+    rest = counts if vocabulary.words > len(vocabulary.rank) else counts.limit(0)
     sums = far.join(rest, "word").groupBy("rid").agg(F.sum("tf").alias("known"), F.sum(F.col("tf") * F.log10(F.col("n") + F.lit(1.0))).alias("logs"))
     share = float(np.log10(vocabulary.tokens + vocabulary.words + 1))
     logs = F.coalesce("logs", F.lit(0.0))

@@ -188,6 +188,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_docs: int = 6000, windo
     saved = max(range(4, 41), key=lambda s: (((tops >= s) == y).mean(), -abs(s - 12)))  # the calibrated threshold
     scorer = Scorer(ordinary, toxic, window_words, saved)
     x = np.array([scorer.features(t) for _, t in held])
+    # with the map calibrated, the dictionaries take in the calibration part as well
+    toxic_texts = _distinct(parts[False, 1] + parts[True, 1])
+    ordinary, toxic = _dictionaries(_distinct(parts[False, 0] + parts[True, 0]), toxic_texts, ratio, max(2, min(8, len(toxic_texts) // 50)))
     return ToxicityModel(ordinary, toxic, tuple(_logistic(x, y).tolist()), saved, window_words)
 
 

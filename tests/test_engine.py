@@ -195,3 +195,20 @@ def test_nowcast_ignores_late_vintages(spark):
     two = evaluate_nowcast(f, make(t + [(m, after(m, 4000), 99.0) for m in months]))
     assert one == two and one["status"] == "complete" and one["models"]["index_and_diffusion"]["rmse"] < one["models"]["historical_mean"]["rmse"]
     assert evaluate_nowcast(f, make(t), 50)["status"] == "insufficient_history"
+
+
+def test_research_run_finds_the_planted_effect(spark, tmp_path):
+    import json
+
+    from quayside.run import run_research
+    from quayside.sources.generators import research_rows, write_export
+
+    path = write_export(spark, str(tmp_path / "export"), "demo", *research_rows(100), "2026-01-01T00:00:00Z")
+    cfg = Settings(dt.date(2025, 1, 1), dt.date(2025, 4, 11), assume_store_success_confirms_state=True, max_state_age_days=400, min_train_days=70, test_days=30, min_train_events=10)
+    out = run_research(spark, [path], cfg, str(tmp_path / "run"), variants=False)
+    edge = {(e["source_retailer"], e["target_retailer"]): e["rate_difference"] for e in out["network"]}
+    assert edge["alpha", "beta"] > 0.1 and edge["alpha", "gamma"] < 0.05
+    record = json.loads((tmp_path / "run" / "run.json").read_text())
+    assert record["status"] == "complete" and set(record["artefacts"]) == {"results.json", "report.md"}
+    brier = {m["model"]: m["brier"] for m in out["metrics"]}
+    assert brier["hazard_diffusion"] < brier["hazard_baseline"]

@@ -160,12 +160,12 @@ def _(spark, sf):
     return P.summary(panel(spark, sf))
 
 
-LAGS = f"{r('lag_return')}, {b('lag_age AS lag_state_age')}, lag_date"
+LAGS = f"{r('lag_return')}, cast(lag_age AS DOUBLE) AS lag_state_age, lag_date"  # doubles where whole numbers can be null
 
 
 @query("feature_base", sql(f"SELECT {ROW_SQL}, family AS feed_family, lag_promotion, {LAGS} FROM base"))
 def _(spark, sf):
-    return rounds(base(spark, sf).select(*ROW, "feed_family", "lag_promotion", "lag_return", "lag_state_age", "lag_date"))
+    return rounds(base(spark, sf).select(*ROW, "feed_family", "lag_promotion", "lag_return", F.col("lag_state_age").cast("double").alias("lag_state_age"), "lag_date"))
 
 
 @query("targets", sql(f"SELECT {ROW_SQL}, {r('r AS log_return')} FROM targets"))
@@ -207,9 +207,9 @@ def _(spark, sf):
     return rounds(X.competitor_context(X.targets(bb), X.daily_peer_prices(bb)))
 
 
-@query("own_history", sql(f"SELECT {ROW_SQL}, {b('since AS days_since_own_change')}, {r(*[f'rate{n} AS own_change_rate_{n}d' for n in (7, 30, 90)])} FROM history"))
+@query("own_history", sql(f"SELECT {ROW_SQL}, cast(since AS DOUBLE) AS days_since_own_change, {r(*[f'rate{n} AS own_change_rate_{n}d' for n in (7, 30, 90)])} FROM history"))
 def _(spark, sf):
-    return rounds(X.own_history(X.targets(base(spark, sf))))
+    return rounds(X.own_history(X.targets(base(spark, sf))).withColumn("days_since_own_change", F.col("days_since_own_change").cast("double")))
 
 
 @query("category_activity", sql("SELECT date, city_id, category_id, n FROM activity"))

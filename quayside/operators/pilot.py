@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quayside.functions.columns import days, flag
+from quayside.functions.columns import days, finite, flag
 from quayside.operators.panel import last_of_day, numeric_id, with_ties
 from quayside.sources.contract import OFFER
 
@@ -65,6 +65,29 @@ def retailer_profile(events: DataFrame) -> DataFrame:
     )
 
 
+def event_totals(events: DataFrame) -> DataFrame:
+    """What the events of the whole export are: first ones, clean changes, ties, gaps between them."""
+    c = F.col
+    clean = c("clean_price_change")
+    gap = (F.unix_micros("observed_at") - F.unix_micros("previous_observed_at")) / 3.6e9
+    return events.agg(
+        F.count_if(c("previous_price").isNull()).alias("initial_events"), F.count_if(clean).alias("clean_changes"), F.count_if(clean & c("high_confidence_link")).alias("high_confidence_changes"),
+        F.count_if(clean & (c("previous_promotion") == c("is_promotion"))).alias("changes_without_promotion_transition"), F.count_if(c("timestamp_multiplicity") > 1).alias("tied_timestamp_rows"),
+        F.count_if(c("previous_price") == c("price")).alias("unchanged_price_events"), F.median(gap).alias("median_gap_hours"), F.percentile(gap, 0.95).alias("p95_gap_hours"),
+        F.count_if(clean & (F.abs("price_return") > 1)).alias("changes_over_100pct"),
+    )
+
+
+def panel_profile(panel: DataFrame) -> DataFrame:
+    today = F.col("event_recorded_today")
+    return panel.agg(F.count(F.lit(1)).alias("rows"), F.count_if(today).alias("event_days"), F.count_if(~today).alias("carried_days"), F.max("state_age_days").alias("max_state_age_days"))
+
+
+def mapping_profile(links: DataFrame) -> DataFrame:
+    dated = F.col("valid_from").isNotNull() | F.col("valid_to").isNotNull()
+    return links.agg(F.count(F.lit(1)).alias("rows"), F.count_if("selected_for_observation_export").alias("selected_rows"), F.count_if("barcode_overlap").alias("barcode_overlap_rows"), F.count_if(dated).alias("historical_validity_rows"))
+
+
 def matching_profile(obs: DataFrame) -> DataFrame:
     return obs.groupBy("match_method", "match_status").agg(F.count(F.lit(1)).alias("observations"), F.min("match_confidence").alias("min_confidence"), F.avg("match_confidence").alias("mean_confidence"), F.max("match_confidence").alias("max_confidence"))
 
@@ -132,3 +155,17 @@ def event_regimes(obs: DataFrame) -> DataFrame:
 
 def export_scope(obs: DataFrame, by: list[str]) -> DataFrame:
     return obs.withColumn("month", F.date_format("observed_at", "yyyy-MM")).groupBy(*by).agg(F.count(F.lit(1)).alias("observations"), F.count_distinct(F.struct(*OFFER)).alias("offers"), F.count_if(F.col("price") <= 0).alias("invalid_prices"))
+
+
+def export_totals(obs: DataFrame) -> DataFrame:
+    """The scope of a whole export in one row."""
+    c = F.col
+    return obs.agg(
+        F.count(F.lit(1)).alias("observations"), F.min("observed_at").alias("first_observation"), F.max("observed_at").alias("last_observation"), F.count_distinct("retailer_id").alias("retailers"),
+        F.count_distinct("city_id").alias("cities"), F.count_distinct("category_id").alias("categories"), F.count_if(c("link_valid_from").isNotNull()).alias("dated_links"),
+        F.count_if(c("canonical_product_id").isNull()).alias("unlinked"), F.count_if((c("price") <= 0) | ~finite(c("price"))).alias("invalid_prices"),
+    )
+
+
+def export_retailers(obs: DataFrame) -> DataFrame:
+    return obs.groupBy("retailer_id").agg(F.count(F.lit(1)).alias("observations"), F.min("observed_at").alias("first_observation"), F.max("observed_at").alias("last_observation"), F.count_distinct("city_id").alias("cities"))

@@ -411,6 +411,24 @@ def _(spark, sf):
     return events(spark, sf).groupBy("clean_price_change", "high_confidence_link").agg(F.count(F.lit(1)).alias("events"))
 
 
+@query("event_totals", sql(f"""SELECT count(*) FILTER (WHERE pprice IS NULL) AS initial_events, count(*) FILTER (WHERE clean) AS clean_changes, count(*) FILTER (WHERE clean AND trusted) AS high_confidence_changes, count(*) FILTER (WHERE clean AND ppromo = is_promotion) AS changes_without_promotion_transition,
+count(*) FILTER (WHERE ties > 1) AS tied_timestamp_rows, count(*) FILTER (WHERE pprice = price) AS unchanged_price_events, {r('median((epoch_us(observed_at) - epoch_us(pat)) / 3.6e9) AS median_gap_hours', 'quantile_cont((epoch_us(observed_at) - epoch_us(pat)) / 3.6e9, 0.95) AS p95_gap_hours')},
+count(*) FILTER (WHERE clean AND abs(price / pprice - 1) > 1) AS changes_over_100pct FROM pilot"""))
+def _(spark, sf):
+    return rounds(L.event_totals(events(spark, sf)))
+
+
+@query("panel_profile", f"SELECT count(*) AS rows, count(*) FILTER (WHERE observation_status = 'event_recorded') AS event_days, count(*) FILTER (WHERE observation_status <> 'event_recorded') AS carried_days, max(state_age_days)::BIGINT AS max_state_age_days FROM ({_SQL['pilot_panel']})")
+def _(spark, sf):
+    return L.panel_profile(L.pilot_panel(events(spark, sf), FIRST, LAST)).withColumn("max_state_age_days", F.col("max_state_age_days").cast("long"))
+
+
+@query("mapping_profile", sql("SELECT count(*) AS rows, count(*) FILTER (WHERE retailer_id <> 'view') AS selected_rows, count(*) FILTER (WHERE x) AS barcode_overlap_rows, count(*) FILTER (WHERE f IS NOT NULL OR u IS NOT NULL) AS historical_validity_rows FROM (SELECT retailer_id, store_id, retailer_product_id, canonical_product_id, bool_or(len(barcodes) > 1) AS x, min(link_valid_from) AS f, max(link_valid_to) AS u FROM obs GROUP BY ALL)"))
+def _(spark, sf):
+    links = obs(spark, sf).groupBy(*OFFER, "canonical_product_id").agg(F.bool_or(F.size("barcodes") > 1).alias("barcode_overlap"), F.min("link_valid_from").alias("valid_from"), F.max("link_valid_to").alias("valid_to"))
+    return L.mapping_profile(links.withColumn("selected_for_observation_export", F.col("retailer_id") != "view"))
+
+
 @query("mapping_consistency", sql("SELECT count(*) AS unmatched_observations FROM obs WHERE retailer_id = 'view' AND canonical_product_id IS NOT NULL"))
 def _(spark, sf):
     o = obs(spark, sf)
@@ -458,6 +476,20 @@ def _(spark, sf):
     return L.export_scope(obs(spark, sf), ["category_id"])
 
 
+@query("export_totals", sql("SELECT count(*) AS observations, strftime(min(observed_at), '%Y-%m-%d %H:%M:%S') AS first_observation, strftime(max(observed_at), '%Y-%m-%d %H:%M:%S') AS last_observation, count(DISTINCT retailer_id) AS retailers, count(DISTINCT city_id) AS cities, count(DISTINCT category_id) AS categories, count(*) FILTER (WHERE canonical_product_id IS NULL) AS unlinked, count(*) FILTER (WHERE price <= 0 OR NOT isfinite(price)) AS invalid_prices FROM obs"))
+def _(spark, sf):
+    return timed(L.export_totals(obs(spark, sf))).drop("dated_links")
+
+
+@query("export_retailers", sql("SELECT retailer_id, count(*) AS observations, strftime(min(observed_at), '%Y-%m-%d %H:%M:%S') AS first_observation, strftime(max(observed_at), '%Y-%m-%d %H:%M:%S') AS last_observation, count(DISTINCT city_id) AS cities FROM obs GROUP BY 1"))
+def _(spark, sf):
+    return timed(L.export_retailers(obs(spark, sf)))
+
+
+def timed(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("first_observation", "last_observation")})
+
+
 @query("assumption_audit", sql("SELECT strftime(date, '%Y-%m') AS month, count(*) FILTER (WHERE outcome_ok) AS continuous_rows, count(*) FILTER (WHERE outcome_ok AND today) AS event_rows, round(avg(cast(abs(r) > 1e-10 AS INT)) FILTER (WHERE outcome_ok), 6) AS continuous_rate, round(avg(cast(abs(r) > 1e-10 AS INT)) FILTER (WHERE outcome_ok AND today), 6) AS event_rate FROM panel GROUP BY 1"))
 def _(spark, sf):
     hit, ok = (F.abs("log_return") > 1e-10).cast("int"), F.col("outcome_eligible")
@@ -521,6 +553,66 @@ def _(spark, sf):
     return rounds(metrics(_predictions(spark, sf, True), ["model", "train_end_exclusive"]))
 
 
+def _coefficients(spark, sf, fit):
+    """One fit on all rows: (term, coefficient), the intercept as term -1."""
+    from quayside.operators.models import Encoder
+
+    df = features(spark, sf).cache()
+    encoder = Encoder.fit(df, True)
+    rows = df.select("changed", "magnitude", encoder.features().alias("features"))
+    model = fit(rows.coalesce(1 + df.count() // 50_000).persist())  # iterations over few rows are all overhead
+    rows = [(-1, float(model.intercept)), *enumerate(float(x) for x in model.coefficients)]
+    return rounds(spark.createDataFrame(rows, "term long, coefficient double"))
+
+
+@query("glm_logistic")
+def _(spark, sf):
+    from quayside.operators.models import fit_logistic
+
+    return _coefficients(spark, sf, fit_logistic)
+
+
+@query("glm_poisson")
+def _(spark, sf):
+    from quayside.operators.models import fit_poisson
+
+    return _coefficients(spark, sf, fit_poisson)
+
+
+@query("ridge_marks")
+def _(spark, sf):
+    from quayside.operators.models import fit_marks
+
+    return _coefficients(spark, sf, fit_marks)
+
+
+@query("boosted")
+def _(spark, sf):
+    from quayside.operators.models import fit_boosted, score_boosted
+
+    df = features(spark, sf).cache()
+    return rounds(score_boosted(df, *fit_boosted(df, True, CFG.seed)).select(*ROW, "probability"))
+
+
+@query("nowcast")
+def _(spark, sf):
+    from quayside.operators.nowcast import evaluate_nowcast
+    from quayside.sources.generators import monthly_rows
+
+    f, t = monthly_rows()
+    out = evaluate_nowcast(spark.createDataFrame(f, "month date, available_at timestamp, index_change double, diffusion_signal double"), spark.createDataFrame(t, "month date, released_at timestamp, value double"))
+    return rounds(spark.createDataFrame([(k, v["n"], v["mae"], v["rmse"]) for k, v in out["models"].items()], "model string, n long, mae double, rmse double"))
+
+
+@query("grocery_targets")
+def _(spark, sf):
+    """Exposures from all categories, models on the targets of some alone."""
+    from quayside.operators.models import metrics, walk_forward
+
+    rows = features(spark, sf).filter(F.col("category_id").isin("k0", "k1")).cache()
+    return rounds(metrics(walk_forward(rows, CFG, False), ["model", "train_end_exclusive"]))
+
+
 @query("focused_excitation")
 def _(spark, sf):
     from quayside.operators.models import metrics, walk_forward

@@ -15,6 +15,9 @@ filter (overlap bounded by cells of the hash space), and its sets are intersecte
 
 A large group of near copies would make all its pairs. So blocks first link their nodes to a few leaders; after
 connecting those, only pairs across components are joined. Components come out the same as from all pairs.
+
+No link leaves a component. So the links are then counted within components alone: the nodes of each are salted into
+slots, and each pair of slots compares its sets once, by a product of 0/1 matrices.
 """
 
 from __future__ import annotations
@@ -37,6 +40,9 @@ CHUNK_SHINGLES = 2_000_000
 PART_SHINGLES = 1_000_000
 #: Hash cells of the suffix filter.
 CELLS = 16
+#: Nodes of a slot, and shingles of a matrix, where links are counted.
+SLOT_NODES = 128
+SLOT_SHINGLES = 4096
 CELL = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), ("kind", pa.int32()), ("blob", pa.binary())])
 CELL_DDL = "part int, chunk long, kind int, blob binary"
 NODE = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("sig", pa.binary()), ("unshared", pa.int64()), ("shared", pa.list_(pa.int64()))])
@@ -280,11 +286,15 @@ def _verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return both.filter(enough(most)).filter(enough(F.size(F.array_intersect("sa", "sb")))).select("a", "b")
 
 
-def similar_components(sets: DataFrame, percent: int = 75, leader_rounds: int = 5) -> DataFrame:
-    """(sig, root): the classes of equal sets that take part, with their component's smallest class."""
+def set_classes(sets: DataFrame) -> DataFrame:
+    """Written, one row a class of equal sets that takes part: node, n, unshared, copies (its rows), shared, cells."""
     groups = sets.filter("shared is not null")
-    nodes = groups.groupBy("sig").agg(F.min("n_shingles").alias("n"), F.min("unshared").alias("unshared"), F.first("shared").alias("shared"))
-    nodes = cut(nodes.select(F.col("sig").alias("node"), "n", "unshared", "shared", _cells(F.col("shared")).alias("cells")), "shingle-nodes")
+    nodes = groups.groupBy("sig").agg(F.min("n_shingles").alias("n"), F.min("unshared").alias("unshared"), F.count(F.lit(1)).alias("copies"), F.first("shared").alias("shared"))
+    return cut(nodes.select(F.col("sig").alias("node"), "n", "unshared", "copies", "shared", _cells(F.col("shared")).alias("cells")), "shingle-nodes")
+
+
+def similar_components(nodes: DataFrame, percent: int = 75, leader_rounds: int = 5) -> DataFrame:
+    """(sig, root): the classes that link with others, with their component's smallest class."""
     n = F.col("n")
     probe = n - F.ceil(percent * n / 100) + 1
     index = n - F.ceil(2 * percent * n / (100 + percent)) + 1
@@ -328,8 +338,76 @@ def similar_components(sets: DataFrame, percent: int = 75, leader_rounds: int =
     return components(links).select(F.col("node").alias("sig"), "root")
 
 
+def _intersections(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each of the sets ``a`` has in common with each of ``b``."""
+    own = [(np.concatenate(x), np.repeat(np.arange(len(x)), [len(t) for t in x])) for x in (a, b)]
+    common = np.intersect1d(own[0][0], own[1][0])
+    out = np.zeros((len(a), len(b)), np.float32)
+    if not len(common):
+        return out
+    sides = []
+    for tokens, owner in own:
+        at = np.minimum(np.searchsorted(common, tokens), len(common) - 1)
+        found = common[at] == tokens
+        at, owner = at[found], owner[found]
+        order = np.argsort(at, kind="stable")
+        sides.append((at[order], owner[order]))
+    for k in range(0, len(common), SLOT_SHINGLES):
+        parts = []
+        for (at, owner), n in zip(sides, (len(a), len(b))):
+            lo, hi = np.searchsorted(at, (k, k + SLOT_SHINGLES))
+            m = np.zeros((n, SLOT_SHINGLES), np.float32)
+            m[owner[lo:hi], at[lo:hi] - k] = 1
+            parts.append(m)
+        out += parts[0] @ parts[1].T
+    return out
+
+
+def _slot_links(percent: int):
+    """A pair of slots: each node's links with rows of the other slot, or with other nodes of the same one."""
+
+    def run(group: pa.Table) -> pa.Table:
+        slot, i, j = (group.column(c).to_numpy() for c in ("slot", "i", "j"))
+        n, copies = (group.column(c).to_numpy().astype(np.int64) for c in ("n", "copies"))
+        flat = group.column("shared").combine_chunks()
+        bounds, values = flat.offsets.to_numpy(), flat.values.to_numpy()
+        sets = [values[lo:hi] for lo, hi in zip(bounds[:-1], bounds[1:])]
+        same = i[0] == j[0]
+        x = np.flatnonzero(slot == i[0])
+        y = x if same else np.flatnonzero(slot == j[0])
+        links = np.zeros(len(n), np.int64)
+        if len(x) and len(y):
+            both = _intersections([sets[k] for k in x], [sets[k] for k in y]).astype(np.int64)
+            hit = (100 + percent) * both >= percent * (n[x][:, None] + n[y][None, :])  # 100 I >= percent (nx + ny - I)
+            if same:
+                np.fill_diagonal(hit, False)
+            links[x] = hit @ copies[y]
+            if not same:
+                links[y] = hit.T @ copies[x]
+        return pa.table({"node": group.column("node"), "links": pa.array(links, pa.int64())})
+
+    return run
+
+
+def class_links(nodes: DataFrame, roots: DataFrame, percent: int = 75) -> DataFrame:
+    """(sig, links) of the nodes of ``roots``: the rows of other classes that each links with, every pair compared once."""
+    sizes = roots.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / SLOT_NODES).cast("int").alias("slots"))
+    own = nodes.join(roots, nodes["node"] == roots["sig"]).join(sizes, "root")
+    own = own.select("root", "slots", F.pmod(F.xxhash64("node"), F.col("slots")).cast("int").alias("slot"), "node", "n", "copies", "shared")
+    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)))
+    dealt = dealt.select("root", F.least("slot", "other").alias("i"), F.greatest("slot", "other").alias("j"), "slot", "node", "n", "copies", "shared")
+    found = dealt.groupBy("root", "i", "j").applyInArrow(_slot_links(percent), "node binary, links long")
+    return found.groupBy(F.col("node").alias("sig")).agg(F.sum("links").alias("links"))
+
+
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
-    """One row a document: doc_id, n_shingles, component_id.
+    """One row a document: doc_id, n_shingles, component_id; see ``jaccard_links``, whose counts are left out."""
+    sets = ordered_sets(docs, words, percent)
+    return _by_document(sets, similar_components(set_classes(sets), percent)).drop("sig")
+
+
+def jaccard_links(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
+    """Written, one row a document: doc_id, n_shingles, component_id, n_links (the other rows that it links with).
 
     Words are what ASCII white space separates, with A-Z lower-cased. Two documents link when
     ``100 * intersection >= percent * union`` of their distinct word n-grams; fewer words are one shingle. Null and
@@ -338,15 +416,24 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75) -> Da
     left out. No rows give no rows.
     """
     sets = ordered_sets(docs, words, percent)
-    roots = similar_components(sets, percent)
+    nodes = set_classes(sets)
+    roots = cut(similar_components(nodes, percent), "shingle-roots")
+    counts = nodes.select(F.col("node").alias("sig"), "copies").join(class_links(nodes, roots, percent), "sig", "left")
+    counts = counts.select("sig", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    rows = _by_document(sets, roots).join(counts, "sig", "left")
+    return cut(rows.select("doc_id", "n_shingles", "component_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "shingle-links")
+
+
+def _by_document(sets: DataFrame, roots: DataFrame) -> DataFrame:
+    """One row a document: doc_id, n_shingles, component_id, sig (null without a partner)."""
     members = sets.filter("shared is not null").groupBy("sig").agg(F.min("doc_id").alias("least"))
     rooted = members.join(roots, "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component"))
     by_sig = rooted.join(least, "root").select("sig", "component")
     takes_part = F.col("shared").isNotNull()
     rows = sets.select("doc_id", "n_shingles", F.when(takes_part, F.col("sig")).alias("sig"))
-    alone = rows.filter("sig is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    linked = rows.filter("sig is not null").join(by_sig, "sig").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    alone = rows.filter("sig is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "sig")
+    linked = rows.filter("sig is not null").join(by_sig, "sig").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), "sig")
     return alone.unionByName(linked)
 
 

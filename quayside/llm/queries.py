@@ -58,9 +58,10 @@ FROM m GROUP BY r, doc_id
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quayside.llm.jaccard_join import jaccard_components
+    from quayside.llm.jaccard_join import jaccard_links
 
-    return jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    links = jaccard_links(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return links.select("doc_id", "n_shingles", "component_id")  # the columns of its SQL; n_links is in what was written
 
 
 #: Shingle sets as lists of words, links, and the least document that links reach.

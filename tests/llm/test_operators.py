@@ -84,6 +84,27 @@ def test_jaccard_components(spark, seed):
     assert jaccard_join.jaccard_components(docs(spark, [])).isEmpty()
 
 
+def test_jaccard_links_within_a_component(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "SLOT_NODES", 16)  # several slots
+    monkeypatch.setattr(jaccard_join, "SLOT_SHINGLES", 32)
+    rnd = random.Random(3)
+    base = words(77, 80).split()
+    rows = list(EDGE)
+    for k in range(60):
+        own = base[:]
+        for _ in range(rnd.randrange(0, 6)):
+            own[rnd.randrange(len(own))] = "zz" + str(k)
+        rows += [(100 + k, " ".join(own))] * rnd.choice([1, 1, 3])
+    got = sorted((tuple(r) for r in jaccard_join.jaccard_links(docs(spark, rows)).collect()), key=str)
+    sets = [set(jaccard_join.shingle_hashes((t or "").encode(), 5, jaccard_join.WordHashes()).tolist()) for _, t in rows]
+    linked = lambda a, b: bool(a & b) and 100 * len(a & b) >= 75 * len(a | b)
+    n_links = [sum(linked(x, y) for j, y in enumerate(sets) if i != j) for i, x in enumerate(sets)]
+    component = {(doc, n): c for doc, n, c in brute_components(rows)}
+    assert got == sorted(((doc, len(sets[i]), component[doc, len(sets[i])], n_links[i]) for i, (doc, _) in enumerate(rows)), key=str)
+    assert len({r[3] for r in got if (r[0] or 0) >= 100}) > 3
+    assert jaccard_join.jaccard_links(docs(spark, [])).isEmpty()
+
+
 def test_exact_dedup(spark):
     rows = EDGE + [(k, "copy") for k in range(20)] + [(50, "Copy"), (None, "same")]
     got = {(r.doc_id, r.text): r for r in exact_dedup.exact_dedup(docs(spark, rows).withColumn("keep_id", F.lit("clash")), capacity=2, bits=6).collect()}

@@ -39,14 +39,45 @@ def _problems(args: Column, spec: Column) -> Column:
     return F.when(spec.isNull(), F.array(F.lit("no such tool"))).when(given.isNull(), F.array(F.lit("arguments are no object"))).otherwise(F.array_sort(F.concat(missing, wrong, unknown)))
 
 
-def format_chats(conversations: DataFrame, tools: DataFrame, max_rounds: int = 32) -> DataFrame:
+def _order(edges: DataFrame) -> DataFrame:
+    """(conv_id, turn, mid, at) of each message of ``edges`` (conv_id, turn, mid, on_turn, on_mid); ``at`` is null on or behind a cycle.
+
+    ``at`` is the largest (t, d) of the own (turn, 0) and of each awaited message's (t, d + 1). A round settles the
+    messages that wait for nothing open, and lets the others look past each awaited message that waits for one
+    message alone. So a chain takes as many rounds as its length has bits, and only messages that wait for several
+    others take one each. A round that settles nothing leaves what is on or behind cycles.
+    """
+    key, on = ["conv_id", "turn", "mid"], ["on_turn", "on_mid"]
+    open_ = edges.select(*key, *on, F.lit(1).cast("long").alias("k"))
+    nodes = edges.select(*key).unionByName(edges.select("conv_id", F.col("on_turn").alias("turn"), F.col("on_mid").alias("mid"))).distinct()
+    order = nodes.withColumn("at", F.struct(F.col("turn").alias("t"), F.lit(0).cast("long").alias("d")))
+    settled = -1
+    while True:
+        # of a message that waits for one other: which, and how far
+        left = open_.groupBy(*key).agg(F.count(F.lit(1)).alias("left"), F.first(F.struct(*on, "k")).alias("next"))
+        order = cut(order.drop("left", "next").join(left, key, "left").withColumn("left", F.coalesce("left", F.lit(0))), "chat-order")
+        before, settled = settled, order.filter("left = 0").count()
+        if settled == before or open_.isEmpty():
+            return order.select(*key, F.when(F.col("left") == 0, F.col("at")).alias("at"))
+        awaited = order.select("conv_id", F.col("turn").alias("on_turn"), F.col("mid").alias("on_mid"), F.col("at").alias("by"), "left", "next")
+        after = F.when(F.col("left") <= 1, F.struct(F.col("by.t").alias("t"), (F.col("by.d") + F.col("k")).alias("d")))
+        past = F.when(F.col("left") > 1, F.struct(*on, "k"))
+        past = past.when(F.col("left") == 1, F.struct(F.col("next.on_turn").alias("on_turn"), F.col("next.on_mid").alias("on_mid"), F.least(F.col("next.k") + F.col("k"), F.lit(1 << 40)).alias("k")))  # only cycles get there
+        seen = cut(open_.join(awaited, ["conv_id", *on]).select(*key, after.alias("after"), past.alias("past")), "chat-waits")
+        open_ = seen.filter("past is not null").groupBy(*key, F.col("past.on_turn").alias("on_turn"), F.col("past.on_mid").alias("on_mid")).agg(F.max("past.k").alias("k"))
+        open_ = cut(open_, "chat-open")
+        least = seen.groupBy(*key).agg(F.max("after").alias("after"))
+        order = order.join(least, key, "left").withColumn("at", F.greatest("at", F.coalesce("after", "at"))).drop("after")
+
+
+def format_chats(conversations: DataFrame, tools: DataFrame) -> DataFrame:
     """One row a message: conv_id, turn, order_turn, order_depth, role, kind, n_calls, n_problems, problems, linked, json.
 
     ``tools`` has name, param, type (of ``KINDS``), required; a tool without parameters has one row with a null param.
     ``kind``: message, calls, result or orphan (a result whose call is not there). Null roles and texts count as empty.
     Text that isn't of the JSON forms above is an ordinary message. Of calls that repeat an identifier the first by
     (turn, position) answers to it, the others are problems. Repeated messages stay. Calls that wait for
-    each other, and chains of more than ``max_rounds``, keep the order of their turns and have the problem "cycle".
+    each other, and messages behind them, keep the order of their turns and have the problem "cycle".
     """
     own = conversations.select(
         "conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
@@ -72,26 +103,14 @@ def format_chats(conversations: DataFrame, tools: DataFrame, max_rounds: int = 3
     waits = refs.join(linked.select("conv_id", "id", F.col("turn").alias("on_turn"), F.col("mid").alias("on_mid")), ["conv_id", "id"]).drop("id")
     edges = linked.select(*key, F.col("call_turn").alias("on_turn"), F.col("call_mid").alias("on_mid")).unionByName(waits)
     edges = cut(edges.distinct(), "chat-edges")
-    place = F.struct(F.col("turn").alias("t"), F.lit(0).alias("d"))
-    nodes = edges.select(*key).unionByName(edges.select("conv_id", F.col("on_turn").alias("turn"), F.col("on_mid").alias("mid"))).distinct()
-    order = cut(nodes.withColumn("at", place).withColumn("moved", F.lit(True)), "chat-order")
-    cyclic = None
-    for k in range(max_rounds):
-        before = order.select("conv_id", F.col("turn").alias("on_turn"), F.col("mid").alias("on_mid"), F.struct(F.col("at.t").alias("t"), (F.col("at.d") + 1).alias("d")).alias("after"))
-        least = edges.join(before, ["conv_id", "on_turn", "on_mid"]).groupBy(*key).agg(F.max("after").alias("after"))
-        at = F.greatest("at", F.coalesce("after", "at"))
-        order = cut(order.drop("moved").join(least, key, "left").select(*key, at.alias("at"), (at > F.col("at")).alias("moved")), "chat-order")
-        cyclic = order.filter("moved")
-        if cyclic.isEmpty():
-            break
-    caught = cyclic.select("conv_id").distinct().withColumn("cycle", F.lit(True))
+    order = _order(edges).withColumn("cycle", F.col("at").isNull())
 
     per_message = checked.groupBy(*key).agg(
         F.count(F.lit(1)).alias("n_calls"),
         F.array_sort(F.collect_list(F.struct("idx", F.transform("problems", lambda p: F.concat(F.coalesce("id", F.lit("?")), F.lit(" "), p)).alias("problems")))).alias("found"),
     )
-    out = node.join(per_message, key, "left").join(linked.select(*key, "call_turn"), key, "left").join(order.select(*key, "at"), key, "left").join(caught, "conv_id", "left")
-    cycle = F.coalesce("cycle", F.lit(False)) & F.col("at").isNotNull()
+    out = node.join(per_message, key, "left").join(linked.select(*key, "call_turn"), key, "left").join(order, key, "left")
+    cycle = F.coalesce("cycle", F.lit(False))
     problems = F.concat(F.coalesce(F.flatten(F.transform("found", lambda f: f["problems"])), F.array().cast("array<string>")), F.when(cycle, F.array(F.lit("cycle"))).otherwise(F.array().cast("array<string>")))
     is_result = F.col("r.tool_call_id").isNotNull()
     kind = F.when(F.size("c.tool_calls") > 0, "calls").when(is_result & F.col("call_turn").isNotNull(), "result").when(is_result, "orphan").otherwise("message")
@@ -104,8 +123,8 @@ def format_chats(conversations: DataFrame, tools: DataFrame, max_rounds: int = 3
     ))
     return out.withColumn("kind", kind).select(
         "conv_id", "turn",
-        F.when(cycle | F.col("at").isNull(), F.col("turn")).otherwise(F.col("at.t")).alias("order_turn"),
-        F.when(cycle | F.col("at").isNull(), F.lit(0)).otherwise(F.col("at.d")).alias("order_depth"),
+        F.coalesce("at.t", "turn").alias("order_turn"),
+        F.coalesce(F.col("at.d").cast("int"), F.lit(0)).alias("order_depth"),
         "role", "kind",
         F.coalesce("n_calls", F.lit(0)).cast("long").alias("n_calls"), F.size(problems).cast("long").alias("n_problems"), problems.alias("problems"),
         F.col("call_turn").isNotNull().alias("linked"), json.alias("json"),

@@ -259,6 +259,29 @@ def test_chats(spark):
     assert chat_format.format_chats(conv.limit(0), spark.createDataFrame(Q.TOOLS, chat_format.TOOL_SCHEMA)).isEmpty()
 
 
+def test_long_chains_and_cycles(spark):
+    import json
+
+    call = lambda i, *on: json.dumps({"tool_calls": [{"id": i, "name": "search", "arguments": {"query": "x", **{f"r{k}": {"$result": o} for k, o in enumerate(on)}}}]})
+    result = lambda i: json.dumps({"tool_call_id": i, "content": i})
+    waits, rows, top = {}, [], 90
+    for k in range(40):  # each call waits for the results of one or two before it, and stands before them
+        on = [f"c{j}" for j in (k - 1, k - 2 if k % 10 == 0 else -1) if j >= 0]
+        rows += [(1, top - 2 * k, "assistant", call(f"c{k}", *on)), (1, top - 2 * k - 1, "tool", result(f"c{k}"))]
+        waits |= {top - 2 * k: [top - 2 * int(j[1:]) - 1 for j in on], top - 2 * k - 1: [top - 2 * k]}
+    for i, on in (("p", "q"), ("q", "p"), ("s", "q")):  # s is behind the cycle
+        rows += [(1, top + 10 * "pqs".index(i) + 10, "assistant", call(i, on)), (1, top + 10 * "pqs".index(i) + 11, "tool", result(i))]
+    conv = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r.turn: r for r in chat_format.format_chats(conv, spark.createDataFrame(Q.TOOLS, chat_format.TOOL_SCHEMA)).collect()}
+    want = {}
+    for turn in sorted(waits, reverse=True):
+        want[turn] = max([(turn, 0), *((want[p][0], want[p][1] + 1) for p in waits[turn])])
+    assert {t: (got[t].order_turn, got[t].order_depth) for t in want} == want and max(d for _, d in want.values()) == 79
+    for t, r in got.items():
+        assert ("cycle" in r.problems) == (t > top)
+        assert t <= top or (r.order_turn, r.order_depth) == (t, 0)
+
+
 def test_pipeline_keeps_clean_documents(spark):
     import corpus_pipeline
 

@@ -27,7 +27,9 @@ UNITS = (
 
 
 def exact_stride(window: int, min_share: float) -> int:
-    """Largest step between a document's windows that finds every alignment with ``min_share`` of an item's windows.
+    """Largest step between a document's windows that finds every alignment of two runs or more with ``min_share`` of an item's windows.
+
+    Not for one run, nor for an item whose windows lie on several alignments: ``find_leaks`` looks up shorter grams instead.
 
     A run of window + step - 1 equal tokens holds a window at one of the steps. If all runs are shorter, each adds at
     most step - 1 windows, and k of them (the item may continue between runs) stay under the share.
@@ -74,30 +76,32 @@ def _windows(hashes: Column, n: int, step: int) -> Column:
 def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 5, min_share: float = 0.5, max_broadcast: int = 500_000, units: list[str] = UNITS) -> DataFrame:
     """Pairs of documents and the items they leak: __id, __hash, __len, item_id, share.
 
-    Items shorter than a window and a step are one window of their own length. Items without tokens match nothing.
+    Items shorter than a window are one window of their own length. Items without tokens match nothing.
+    A window at any position holds a gram of one token less at an even one: documents look up those grams at every
+    second position, and the alignments that they give are compared whole.
     Up to ``max_broadcast`` benchmark windows (some 30 bytes each) and the items' tokens are broadcast; with more the
     joins shuffle.
     """
-    step = exact_stride(window, min_share)
     text = F.coalesce(F.col("text"), F.lit(""))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text.alias("text")).distinct()
     items = items.select("item_id", F.xxhash64("item_id", "text").alias("item"), _raw(F.col("text")).alias("iraw"), _canonical(F.col("text"), units).alias("itok"))
-    items = items.filter("size(itok) > 0").withColumn("n", F.when(F.size("itok") < window + step - 1, F.size("itok")).otherwise(F.lit(window)))
-    lengths = sorted((r.n, r.whole) for r in items.select("n", (F.size("itok") < window + step - 1).alias("whole")).distinct().collect())  # a few
+    items = items.filter("size(itok) > 0").withColumn("n", F.when(F.size("itok") < window, F.size("itok")).otherwise(F.lit(window)))
+    lengths = sorted(r.n for r in items.select("n").distinct().collect())  # a few
     doc = ["__id", "__hash", "__len"]
     if not lengths:
         return docs.select(*_row_key(), F.lit(None).cast("long").alias("item_id"), F.lit(0.0).alias("share")).limit(0)
     rows = docs.select(*_row_key(), text.alias("text"), _canonical(text, units).alias("tokens")).withColumn("hashes", _hashes("tokens"))
     sides = []
-    for n, whole in lengths:
-        own = items.filter((F.col("n") == n) & ((F.size("itok") < window + step - 1) == F.lit(whole)))
-        side = own.withColumn("hashes", _hashes("itok")).select("item", F.explode_outer(_windows(F.col("hashes"), n, 1)).alias("w")).select("item", F.col("w.pos").alias("ipos"), F.col("w.h").alias("h"))
-        sides.append((n, 1 if whole else step, side))
-    small = sum(side.count() for _, _, side in sides) <= max_broadcast
+    for n in lengths:
+        own = items.filter(F.col("n") == n)
+        gram, every = (n - 1, 2) if n == window > 2 else (n, 1)
+        side = own.withColumn("hashes", _hashes("itok")).select("item", F.explode_outer(_windows(F.col("hashes"), gram, 1)).alias("w")).select("item", F.col("w.pos").alias("ipos"), F.col("w.h").alias("h"))
+        sides.append((n, gram, every, side))
+    small = sum(side.count() for *_, side in sides) <= max_broadcast
     held = (lambda df: F.broadcast(df)) if small else (lambda df: df.hint("shuffle_merge"))
     found = None
-    for n, every, side in sides:
-        windows = rows.select("*", F.explode_outer(_windows(F.col("hashes"), n, every)).alias("w")).select(*doc, "text", "tokens", F.col("w.pos").alias("pos"), F.col("w.h").alias("h"))
+    for n, gram, every, side in sides:
+        windows = rows.select("*", F.explode_outer(_windows(F.col("hashes"), gram, every)).alias("w")).select(*doc, "text", "tokens", F.col("w.pos").alias("pos"), F.col("w.h").alias("h"))
         pairs = windows.join(held(side), "h").join(held(items), "item")
         places = F.sequence(F.lit(0), F.size("itok") - 1)
         diag = F.col("pos") - F.col("ipos")

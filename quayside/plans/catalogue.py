@@ -615,12 +615,12 @@ def _(spark, sf):
 
 @query("focused_excitation")
 def _(spark, sf):
-    from quayside.operators.models import metrics, walk_forward
+    from quayside.operators.models import focused_walk_forward, metrics
 
     df = features(spark, sf)
     chosen = A.excitation_products(X.targets(base(spark, sf)))
     rows = df.join(chosen, "canonical_product_id", "left_semi").cache()
-    return rounds(metrics(walk_forward(rows, CFG, False).filter("model = 'marked_intensity'"), ["model", "train_end_exclusive"]))
+    return rounds(metrics(focused_walk_forward(rows, CFG), ["model", "train_end_exclusive"]))
 
 
 @query("block_bootstrap")

@@ -146,6 +146,27 @@ def test_queries_match_sql(spark):
         assert text(df.collect()) == text(want), name
 
 
+def test_focused_models_with_and_without_diffusion(spark):
+    import random
+
+    from quayside.operators.models import BASE, DIFFUSION, focused_walk_forward, metrics
+
+    rnd, rows = random.Random(4), []
+    for day in range(30):
+        for k in range(20):
+            signal = rnd.random()
+            changed = int(day < 10 or rnd.random() < signal)  # the first fold trains on changes alone
+            rows.append((START.date() + dt.timedelta(days=day), f"r{k % 2}", "s", f"p{k}", "c", "k", day % 7, changed, 0.1 * changed, *[rnd.random() for _ in BASE], *[signal] * len(DIFFUSION)))
+    kinds = "date date, retailer_id string, store_id string, retailer_product_id string, city_id string, category_id string, day_of_week int, changed int, magnitude double"
+    df = spark.createDataFrame(rows, ", ".join([kinds, *(f"{c} double" for c in BASE + DIFFUSION)])).cache()
+    cfg = settings(30, min_train_days=10, test_days=10, min_train_events=30)
+    out = focused_walk_forward(df, cfg).cache()
+    got = {(r.model, r.train_end_exclusive.day): r for r in metrics(out, ["model", "train_end_exclusive"]).collect()}
+    assert set(got) == {(m, d) for m in ("time_varying_baseline", "cross_retailer_excitation") for d in (11, 21)}
+    assert all(r.n == 200 and r.return_mae == pytest.approx(0.1 * r.events / r.n) for r in got.values())
+    assert got["cross_retailer_excitation", 21].brier < got["time_varying_baseline", 21].brier
+
+
 def test_landing_round_trip(spark, tmp_path):
     import gzip
     import json

@@ -9,6 +9,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: White space of the contracts, as bytes.split() and bytes.strip() have it too.
 SPACE = " \t\n\x0b\f\r"
@@ -46,6 +47,20 @@ def drop_cut(df: DataFrame) -> None:
         delete(df.sparkSession, f)
 
 
+def fresh_names(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns of the operators' own that ``df`` lacks, whatever the case of its names."""
+    taken = {c.lower() for c in df.columns}
+    mark = "__"
+    while any((mark + n).lower() in taken for n in names):
+        mark += "_"
+    return [mark + n for n in names]
+
+
+def added_schema(df: DataFrame, *added: StructField, but: tuple[str, ...] = ()) -> StructType:
+    """The columns of ``df`` without ``but``, and the ``added`` ones, as Python functions return them."""
+    return StructType([f for f in df.schema if f.name not in but] + list(added))
+
+
 def delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)

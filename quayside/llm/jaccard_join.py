@@ -13,11 +13,12 @@ Equal sets collapse to one node. Nodes join on prefix shingles: the smaller set'
 prefix, under the length filter and the positional filter. A pair that survives is deduplicated, passes the suffix
 filter (overlap bounded by cells of the hash space), and its sets are intersected once.
 
-A large group of near copies would make all its pairs. So blocks first link their nodes to a few leaders; after
-connecting those, only pairs across components are joined. Components come out the same as from all pairs.
+A large group of near copies would make all its pairs once for each token they share. So blocks first link their nodes
+to a leader; after connecting those, only pairs across components are joined. Components come out the same as from
+all pairs.
 
 No link leaves a component. So the links are then counted within components alone: the nodes of each are salted into
-slots, and each pair of slots compares its sets once, by a product of 0/1 matrices.
+slots of a bounded size, and each pair of slots compares its sets once, by a product of 0/1 matrices.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quayside.llm.common import cut, drop_cut, text_bytes
+from quayside.llm.common import cut, drop_cut, fresh_names, text_bytes
 from quayside.llm.components import components
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -40,13 +41,15 @@ CHUNK_SHINGLES = 2_000_000
 PART_SHINGLES = 1_000_000
 #: Hash cells of the suffix filter.
 CELLS = 16
-#: Nodes of a slot, and shingles of a matrix, where links are counted.
-SLOT_NODES = 128
+CELL_SHIFT = np.uint64(64 - CELLS.bit_length() + 1)
+#: Nodes and shingles of a slot, and shingles of a matrix, where links are counted.
+SLOT_NODES = 512
+SLOT_WEIGHT = 500_000
 SLOT_SHINGLES = 4096
 CELL = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), ("kind", pa.int32()), ("blob", pa.binary())])
 CELL_DDL = "part int, chunk long, kind int, blob binary"
-NODE = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("sig", pa.binary()), ("unshared", pa.int64()), ("shared", pa.list_(pa.int64()))])
-NODE_DDL = "doc_id long, n_shingles long, sig binary, unshared long, shared array<long>"
+NODE = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n_shingles", pa.int64()), ("sig", pa.binary()), ("unshared", pa.int64()), ("shared", pa.list_(pa.int64())), ("cells", pa.list_(pa.int32()))])
+NODE_DDL = "doc_id long, key long, n_shingles long, sig binary, unshared long, shared array<long>, cells array<int>"
 
 
 class WordHashes(dict):
@@ -107,10 +110,9 @@ def _send(words: int, parts: int):
     """Step 1: documents to packed cells by part; kind 0 is the chunk's own record, kind 1 its shingles."""
 
     def flush(docs: list, seq: int) -> Iterator[pa.RecordBatch]:
-        ids = pa.array([d for d, _, _ in docs], pa.int64())
-        n = np.array([len(s) for _, s, _ in docs], np.uint32)
-        sigs = b"".join(g for _, _, g in docs)
-        h = np.concatenate([s for _, s, _ in docs])
+        n = np.array([len(s) for _, _, s, _ in docs], np.uint32)
+        sigs = b"".join(g for *_, g in docs)
+        h = np.concatenate([s for _, _, s, _ in docs])
         ref = np.repeat(np.arange(len(docs), dtype=np.uint32), n)
         order = np.argsort(h, kind="stable")
         h, ref = h[order], ref[order]
@@ -122,33 +124,34 @@ def _send(words: int, parts: int):
         h1, r1 = h[starts[single]], ref[starts[single]]
         hm, cm = h[starts[~single]], counts[~single].astype(np.uint32)
         many = np.repeat(~single, counts)
-        known = np.array([-1 if x is None else x for x in ids.to_pylist()], np.int64).view(np.uint64)
-        null = np.array([x is None for x in ids.to_pylist()], np.uint8)
+        known = np.array([-1 if d is None else d for d, *_ in docs], np.int64).view(np.uint64)
+        keys = np.array([k for _, k, *_ in docs], np.int64).view(np.uint64)
+        null = np.array([d is None for d, *_ in docs], np.uint8)
         pid = TaskContext.get().partitionId() if TaskContext.get() else 0
         # the id also depends on what is in the chunk: rows dealt otherwise in a repeated task can't be mixed up
         chunk = xxhash.xxh3_64_intdigest(sigs + known.tobytes(), pid << 20 | seq) >> 1
-        own = _pack(known, null, n, np.frombuffer(sigs, np.uint64), h[many], ref[many])
+        own = _pack(known, keys, null, n, np.frombuffer(sigs, np.uint64), h[many], ref[many])
         rows = [_row(chunk % parts, chunk, 0, own)]
         edges1 = np.searchsorted(_part_of(h1, parts), np.arange(parts + 1))
         edgesm = np.searchsorted(_part_of(hm, parts), np.arange(parts + 1))
         narrow = np.uint16 if len(docs) < 65536 else np.uint32
         r1 = r1.astype(narrow)
-        for p in range(parts):
+        held = (np.diff(edges1) > 0) | (np.diff(edgesm) > 0)
+        for p in np.flatnonzero(held).tolist():  # no more cells than shingles, however many parts there are
             a, b, c, d = edges1[p], edges1[p + 1], edgesm[p], edgesm[p + 1]
-            if b > a or d > c:
-                rows.append(_row(p, chunk, 1, _pack(h1[a:b], r1[a:b], hm[c:d], cm[c:d])))
-                if len(rows) >= 256:
-                    yield _rows(rows, CELL)
-                    rows = []
+            rows.append(_row(p, chunk, 1, _pack(h1[a:b], r1[a:b], hm[c:d], cm[c:d])))
+            if len(rows) >= 256:
+                yield _rows(rows, CELL)
+                rows = []
         if rows:
             yield _rows(rows, CELL)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, docs, size, seq = WordHashes(), [], 0, 0
         for b in batches:
-            for doc, text in zip(b.column("doc_id").to_pylist(), text_bytes(b.column("text"))):
+            for doc, key, text in zip(b.column("doc_id").to_pylist(), b.column("key").to_pylist(), text_bytes(b.column("text"))):
                 s = shingle_hashes(text, words, known)
-                docs.append((doc, s, xxhash.xxh3_128_digest(s.tobytes())))
+                docs.append((doc, key, s, xxhash.xxh3_128_digest(s.tobytes())))
                 size += len(s)
                 if size >= CHUNK_SHINGLES or len(docs) >= 60_000:
                     yield from flush(docs, seq)
@@ -210,7 +213,7 @@ def _order(percent: int):
     def finish(chunk: int, own: list | None, answers: list) -> Iterator[pa.RecordBatch]:
         if own is None:
             raise RuntimeError("a chunk was dealt otherwise in a repeated task: write the input table first")
-        known, null, n, sigs, hm, rm = own
+        known, keys, null, n, sigs, hm, rm = own
         h, ref, df = [], [], []
         for h1, r1, d1, hs, ds in answers:
             h.append(h1)
@@ -229,12 +232,14 @@ def _order(percent: int):
         order = np.lexsort((h, df, ref))
         h, ref = h[order].view(np.int64), ref[order]
         edges = np.searchsorted(ref, np.arange(len(n) + 1))
+        spread = np.bincount(ref.astype(np.int64) * CELLS + (h.view(np.uint64) >> CELL_SHIFT).astype(np.int64), minlength=len(n) * CELLS).reshape(-1, CELLS).astype(np.int32)
         sig = sigs.tobytes()
         rows = []
         for i in range(len(n)):
             size, m = int(n[i]), int(edges[i + 1] - edges[i])
             probes = size > 0 and size - m < prefix_sizes(size, percent)[0]
-            rows.append((None if null[i] else int(known[i : i + 1].view(np.int64)[0]), size, sig[16 * i : 16 * i + 16], size - m, h[edges[i] : edges[i + 1]] if probes else None))
+            doc, key = (int(x[i : i + 1].view(np.int64)[0]) for x in (known, keys))
+            rows.append((None if null[i] else doc, key, size, sig[16 * i : 16 * i + 16], size - m, h[edges[i] : edges[i + 1]] if probes else None, spread[i] if probes else None))
             if len(rows) >= 2048:
                 yield _rows(rows, NODE)
                 rows = []
@@ -260,8 +265,8 @@ def _order(percent: int):
 
 
 def ordered_sets(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
-    """Written, one row a document: doc_id, n_shingles, sig, unshared, and ``shared`` (rare first) unless its prefix is unshared."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    """Written, one row a document: doc_id, key (of its text), n_shingles, sig, unshared; ``shared`` (rare first) and ``cells`` unless its prefix is unshared."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("key"), "text")
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = n * max(1, math.ceil(chars / 6 / PART_SHINGLES / n))
@@ -271,14 +276,13 @@ def ordered_sets(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFram
     return cut(back.mapInArrow(_order(percent), NODE_DDL), "shingle-sets")
 
 
-def _cells(shared: Column) -> Column:
-    """How many shared shingles fall in each cell of the hash space."""
-    ones = F.transform(shared, lambda h: F.shiftrightunsigned(h, 64 - CELLS.bit_length() + 1).cast("int"))
-    return F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), lambda i: F.size(F.filter(ones, lambda c: c == i)))
+def text_key() -> Column:
+    """Tells rows that repeat a doc_id apart."""
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Links among (a, b): suffix filter, then the intersection of both sets."""
+    """Links among (a, b): suffix filter (overlap bounded by cells of the hash space), then the intersection of both sets."""
     side = lambda s: nodes.select(F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("cells").alias(f"c{s}"), F.col("shared").alias(f"s{s}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     most = F.aggregate(F.zip_with("ca", "cb", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
@@ -288,54 +292,90 @@ def _verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
 def set_classes(sets: DataFrame) -> DataFrame:
     """Written, one row a class of equal sets that takes part: node, n, unshared, copies (its rows), shared, cells."""
-    groups = sets.filter("shared is not null")
-    nodes = groups.groupBy("sig").agg(F.min("n_shingles").alias("n"), F.min("unshared").alias("unshared"), F.count(F.lit(1)).alias("copies"), F.first("shared").alias("shared"))
-    return cut(nodes.select(F.col("sig").alias("node"), "n", "unshared", "copies", "shared", _cells(F.col("shared")).alias("cells")), "shingle-nodes")
+    groups = sets.filter("shared is not null").groupBy(F.col("sig").alias("node"))
+    one = lambda c: F.first(c).alias(c)  # noqa: E731  equal in the class
+    return cut(groups.agg(F.first("n_shingles").alias("n"), one("unshared"), F.count(F.lit(1)).alias("copies"), one("shared"), one("cells")), "shingle-nodes")
 
 
-def similar_components(nodes: DataFrame, percent: int = 75, leader_rounds: int = 5) -> DataFrame:
-    """(sig, root): the classes that link with others, with their component's smallest class."""
+def _prefixes(nodes: DataFrame, percent: int) -> DataFrame:
+    """Written: token, node, n, pos, indexed, for the prefix tokens on which some pair can meet."""
     n = F.col("n")
     probe = n - F.ceil(percent * n / 100) + 1
     index = n - F.ceil(2 * percent * n / (100 + percent)) + 1
-    prefix = nodes.withColumn("probe", probe.cast("int")).withColumn("index", index.cast("int"))
-    prefix = prefix.select("node", "n", "unshared", "index", F.posexplode(F.slice("shared", F.lit(1), F.greatest(F.lit(0), F.least(F.size("shared"), F.col("probe") - F.col("unshared")).cast("int")))).alias("k", "token"))
-    prefix = prefix.select("token", "node", "n", (F.col("unshared") + F.col("k")).alias("pos"), ((F.col("unshared") + F.col("k")) < F.col("index")).alias("indexed"))
-    block = prefix.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.max("indexed").alias("any"))
-    prefix = cut(prefix.join(block.filter("size > 1 and any").select("token"), "token"), "shingle-prefixes")
-    links, tried = None, None
-    rows = prefix.withColumn("root", F.col("node"))
-    for k in range(leader_rounds):
-        many = rows.groupBy("token").agg(F.count(F.lit(1)).alias("c")).agg(F.sum("c"), F.sum(F.col("c") * (F.col("c") - 1) / 2)).first()
-        if (many[1] or 0) <= 2 * (many[0] or 0):
-            break  # all pairs are no more than leaders' pairs would be
+    rows = nodes.select("node", "n", "unshared", probe.cast("int").alias("probe"), index.cast("int").alias("index"), "shared")
+    own = F.slice("shared", F.lit(1), F.greatest(F.lit(0), F.least(F.size("shared"), F.col("probe") - F.col("unshared")).cast("int")))
+    rows = rows.select("node", "n", "unshared", "index", F.posexplode(own).alias("k", "token"))
+    pos = F.col("unshared") + F.col("k")
+    rows = rows.select("token", "node", "n", pos.alias("pos"), (pos < F.col("index")).alias("indexed"))
+    block = rows.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.max("indexed").alias("any"))
+    return cut(rows.join(block.filter("size > 1 and any").select("token"), "token"), "shingle-prefixes")
+
+
+def similar_components(nodes: DataFrame, percent: int = 75, leader_rounds: int = 5) -> DataFrame:
+    """Written, (sig, root): the classes that link with others, with their component's smallest class.
+
+    ``leader_rounds`` only bounds the shortcut: the pairs across components that are left are all joined.
+    """
+    prefix = _prefixes(nodes, percent)
+    overlap = lambda n1, p1, n2, p2: (100 + percent) * F.least(n1 - p1, n2 - p2) >= percent * (n1 + n2)
+    links, tried, done = [], [], []
+    rows, labels = prefix.withColumn("root", F.col("node")), None
+    for k in range(leader_rounds + 1):
+        # pairs across components that the rest of the join would meet; a root counts within its token
+        by_root = rows.groupBy("token", "root").agg(F.count(F.lit(1)).alias("c"))
+        by_token = by_root.groupBy("token").agg(F.sum("c").alias("c"), ((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("cross"))
+        many = by_token.agg(F.sum("c"), F.sum("cross")).first()
+        if k == leader_rounds or (many[1] or 0) <= 4 * (many[0] or 0):
+            break
         # 4**k families of leaders: blocks of a family that have the same nodes have the same leader
         rank = F.xxhash64("node", F.pmod("token", F.lit(4**k)), F.lit(k))
-        leaders = rows.groupBy("token").agg(F.min_by(F.struct("node", "n", "root"), F.struct(rank, "node")).alias("lead"))
+        leaders = rows.groupBy("token").agg(F.min_by(F.struct("node", "n", "pos", "root"), F.struct(rank, "node")).alias("lead"))
         fits = 100 * F.least("n", "lead.n") >= percent * F.greatest("n", "lead.n")
-        pairs = rows.join(leaders, "token").filter((F.col("root") != F.col("lead.root")) & fits)
+        pairs = rows.join(leaders, "token").filter((F.col("root") != F.col("lead.root")) & fits & overlap(F.col("n"), F.col("pos"), F.col("lead.n"), F.col("lead.pos")))
         pairs = pairs.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = cut(pairs, "shingle-pairs")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        new = cut(_verified(pairs, nodes, percent), "shingle-links")
-        links = new if links is None else links.unionByName(new)
-        labels = cut(components(links), "shingle-roots")
-        rows = prefix.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        for old in tried:
+            pairs = pairs.join(old, ["a", "b"], "left_anti")
+        tried.append(cut(pairs, "shingle-pairs"))
+        links.append(cut(_verified(tried[-1], nodes, percent), "shingle-links"))
+        labels = written_components(_all(links), labels)
+        done.append(rows)
         # blocks that still hold several components
-        open_ = rows.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("token")
-        rows = cut(rows.join(open_, "token"), "shingle-open")
+        rooted = prefix.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        open_ = rooted.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("token")
+        rows = cut(rooted.join(open_, "token"), "shingle-open")
+        if k:
+            drop_cut(done[-1])
     x = rows.filter("indexed").select("token", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"), F.col("root").alias("rx"))
     y = rows.select("token", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"), F.col("root").alias("ry"))
     cross = x.join(y, "token").filter("rx <> ry and (nx < ny or (nx = ny and x < y))").filter(100 * F.col("nx") >= percent * F.col("ny"))
-    positional = (100 + percent) * F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py")) >= percent * (F.col("nx") + F.col("ny"))
-    pairs = cross.filter(positional).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    if tried is not None:
-        pairs = pairs.join(tried, ["a", "b"], "left_anti")
-    new = _verified(cut(pairs, "shingle-pairs"), nodes, percent)
-    links = cut(new if links is None else links.unionByName(new), "shingle-links")
-    return components(links).select(F.col("node").alias("sig"), "root")
+    pairs = cross.filter(overlap(F.col("nx"), F.col("px"), F.col("ny"), F.col("py"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    for old in tried:
+        pairs = pairs.join(old, ["a", "b"], "left_anti")
+    pairs = cut(pairs, "shingle-pairs")
+    if done:
+        drop_cut(rows)
+    drop_cut(prefix)
+    last = cut(_verified(pairs, nodes, percent), "shingle-links")
+    if labels is None or not last.isEmpty():
+        labels = written_components(_all([*links, last]), labels)
+    for old in (*tried, *links, pairs, last):
+        drop_cut(old)
+    return labels.select(F.col("node").alias("sig"), "root")
+
+
+def _all(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+def written_components(links: DataFrame, before: DataFrame | None) -> DataFrame:
+    """Written (node, root) of all ``links``; ``before``, of fewer links, is deleted."""
+    labels = cut(components(links), "shingle-roots")
+    if before is not None:
+        drop_cut(before)
+    return labels
 
 
 def _intersections(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -363,18 +403,18 @@ def _intersections(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+SLOTTED = pa.schema([("node", pa.binary()), ("links", pa.int64())])
+
+
 def _slot_links(percent: int):
-    """A pair of slots: each node's links with rows of the other slot, or with other nodes of the same one."""
-
-    def run(group: pa.Table) -> pa.Table:
-        slot, i, j = (group.column(c).to_numpy() for c in ("slot", "i", "j"))
-        n, copies = (group.column(c).to_numpy().astype(np.int64) for c in ("n", "copies"))
-        flat = group.column("shared").combine_chunks()
-        bounds, values = flat.offsets.to_numpy(), flat.values.to_numpy()
-        sets = [values[lo:hi] for lo, hi in zip(bounds[:-1], bounds[1:])]
-        same = i[0] == j[0]
-        x = np.flatnonzero(slot == i[0])
-        y = x if same else np.flatnonzero(slot == j[0])
+    """Rows sorted by (root, i, j): for each pair of slots, each node's links with rows of the other slot, or with other nodes of the same one."""
+
+    def compared(i: int, j: int, rows: list[tuple]) -> pa.RecordBatch:
+        slot, nodes, n, copies, sets = zip(*rows)
+        slot, n, copies = np.array(slot), np.array(n, np.int64), np.array(copies, np.int64)
+        same = i == j
+        x = np.flatnonzero(slot == i)
+        y = x if same else np.flatnonzero(slot == j)
         links = np.zeros(len(n), np.int64)
         if len(x) and len(y):
             both = _intersections([sets[k] for k in x], [sets[k] for k in y]).astype(np.int64)
@@ -384,26 +424,49 @@ def _slot_links(percent: int):
             links[x] = hit @ copies[y]
             if not same:
                 links[y] = hit.T @ copies[x]
-        return pa.table({"node": group.column("node"), "links": pa.array(links, pa.int64())})
+        return pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(links, pa.int64())], schema=SLOTTED)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, rows = None, []
+        for b in batches:
+            flat = b.column("shared")
+            bounds, values = flat.offsets.to_numpy(), flat.values.to_numpy()
+            for k, row in enumerate(zip(*(b.column(c).to_pylist() for c in ("root", "i", "j", "slot", "node", "n", "copies")))):
+                if row[:3] != at:
+                    if rows:
+                        yield compared(at[1], at[2], rows)
+                    at, rows = row[:3], []
+                rows.append((*row[3:], values[bounds[k] : bounds[k + 1]].copy()))
+        if rows:
+            yield compared(at[1], at[2], rows)
 
     return run
 
 
 def class_links(nodes: DataFrame, roots: DataFrame, percent: int = 75) -> DataFrame:
     """(sig, links) of the nodes of ``roots``: the rows of other classes that each links with, every pair compared once."""
-    sizes = roots.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / SLOT_NODES).cast("int").alias("slots"))
-    own = nodes.join(roots, nodes["node"] == roots["sig"]).join(sizes, "root")
-    own = own.select("root", "slots", F.pmod(F.xxhash64("node"), F.col("slots")).cast("int").alias("slot"), "node", "n", "copies", "shared")
-    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)))
-    dealt = dealt.select("root", F.least("slot", "other").alias("i"), F.greatest("slot", "other").alias("j"), "slot", "node", "n", "copies", "shared")
-    found = dealt.groupBy("root", "i", "j").applyInArrow(_slot_links(percent), "node binary, links long")
+    own = nodes.join(roots, nodes["node"] == roots["sig"]).select("root", "node", "n", "copies", "shared")
+    slots = F.greatest(F.ceil(F.count(F.lit(1)) / SLOT_NODES), F.ceil(F.sum(F.size("shared")) / SLOT_WEIGHT)).cast("int")
+    own = own.join(own.groupBy("root").agg(slots.alias("slots")), "root")
+    own = own.withColumn("slot", F.pmod(F.xxhash64("node"), F.col("slots")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)))
+    dealt = own.select("root", F.least("slot", "other").alias("i"), F.greatest("slot", "other").alias("j"), "slot", "node", "n", "copies", "shared")
+    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = dealt.repartition(n, "root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(_slot_links(percent), "node binary, links long")
     return found.groupBy(F.col("node").alias("sig")).agg(F.sum("links").alias("links"))
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
-    """One row a document: doc_id, n_shingles, component_id; see ``jaccard_links``, whose counts are left out."""
+    """Written, one row a document: doc_id, key, n_shingles, component_id, sig; see ``jaccard_links``, whose counts are left out.
+
+    ``key`` is of the text, ``sig`` of the set's component (null for a document that can have no partner).
+    """
     sets = ordered_sets(docs, words, percent)
-    return _by_document(sets, similar_components(set_classes(sets), percent)).drop("sig")
+    nodes = set_classes(sets)
+    roots = similar_components(nodes, percent)
+    out = cut(_by_document(sets, roots).select("doc_id", "key", "n_shingles", "component_id", F.col("root").alias("sig")), "shingle-components")
+    for old in (sets, nodes, roots):
+        drop_cut(old)
+    return out
 
 
 def jaccard_links(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
@@ -417,29 +480,44 @@ def jaccard_links(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFra
     """
     sets = ordered_sets(docs, words, percent)
     nodes = set_classes(sets)
-    roots = cut(similar_components(nodes, percent), "shingle-roots")
+    roots = similar_components(nodes, percent)
     counts = nodes.select(F.col("node").alias("sig"), "copies").join(class_links(nodes, roots, percent), "sig", "left")
     counts = counts.select("sig", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     rows = _by_document(sets, roots).join(counts, "sig", "left")
-    return cut(rows.select("doc_id", "n_shingles", "component_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "shingle-links")
+    out = cut(rows.select("doc_id", "n_shingles", "component_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "shingle-links")
+    for old in (sets, nodes, roots):
+        drop_cut(old)
+    return out
 
 
 def _by_document(sets: DataFrame, roots: DataFrame) -> DataFrame:
-    """One row a document: doc_id, n_shingles, component_id, sig (null without a partner)."""
+    """One row a document: doc_id, key, n_shingles, component_id, sig and root (null without a partner)."""
     members = sets.filter("shared is not null").groupBy("sig").agg(F.min("doc_id").alias("least"))
     rooted = members.join(roots, "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    by_sig = rooted.join(least, "root").select("sig", "component")
-    takes_part = F.col("shared").isNotNull()
-    rows = sets.select("doc_id", "n_shingles", F.when(takes_part, F.col("sig")).alias("sig"))
-    alone = rows.filter("sig is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "sig")
-    linked = rows.filter("sig is not null").join(by_sig, "sig").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), "sig")
-    return alone.unionByName(linked)
+    by_sig = rooted.join(least, "root").select("sig", "root", "component")
+    rows = sets.select("doc_id", "key", "n_shingles", F.when(F.col("shared").isNotNull(), F.col("sig")).alias("sig"))
+    alone = rows.filter("sig is null").select("doc_id", "key", "n_shingles", F.col("doc_id").alias("component_id"), "sig", F.col("sig").alias("root"))
+    linked = rows.filter("sig is not null").join(by_sig, "sig")
+    return alone.unionByName(linked.select("doc_id", "key", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), "sig", "root"))
 
 
 def drop_near_copies(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
-    """The rows of ``docs`` with the smallest doc_id of each component; of rows that repeat an id one stays."""
-    found = jaccard_components(docs, words, percent).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    keep = found.select("doc_id").distinct()
-    rows = docs.join(keep.withColumnRenamed("doc_id", "__keep"), docs["doc_id"].eqNullSafe(F.col("__keep")), "left_semi")
-    return rows
+    """One row of each component stays: the one with the smallest doc_id (a null id is the largest), then the smallest text hash.
+
+    Rows without shingles link with nothing and all stay. Of equal rows, which have equal ids and texts, one stays.
+    """
+    found = jaccard_components(docs, words, percent)
+    linked = found.filter("sig is not null")
+    first = linked.groupBy("sig").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "key")).alias("row"), F.count(F.lit(1)).alias("rows"))
+    keep = found.filter("sig is null").select("doc_id", "key").unionByName(first.select("row.doc_id", "row.key")).distinct()
+    mine, other = fresh_names(docs, "id", "key")
+    keep = keep.select(F.col("doc_id").alias(mine), F.col("key").alias(other))
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col(mine)) & (text_key() == F.col(other))
+    kept = docs.join(keep, same, "left_semi")
+    # rows with shingles whose id and text repeat are equal sets: only then is a look at the rows themselves needed
+    repeats = linked.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    if repeats.isEmpty():
+        return kept
+    again = repeats.select(F.col("doc_id").alias(mine), F.col("key").alias(other))
+    return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))

@@ -60,11 +60,10 @@ FROM m GROUP BY r, doc_id
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quayside.llm.jaccard_join import jaccard_links
 
-    links = jaccard_links(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return links.select("doc_id", "n_shingles", "component_id")  # the columns of its SQL; n_links is in what was written
+    return jaccard_links(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-#: Shingle sets as lists of words, links, and the least document that links reach.
+#: Shingle sets as lists of words, links with their number by document, and the least document that links reach.
 OP2_SQL = f"""
 WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array({LOWER.format("coalesce(text, '')")}, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
@@ -73,7 +72,8 @@ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
 l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 75 * (x.n + y.n - i)),
 r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
-SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, (SELECT min(b) FROM r WHERE r.a = d.doc_id) AS component_id FROM d LEFT JOIN n USING (doc_id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, (SELECT min(b) FROM r WHERE r.a = d.doc_id) AS component_id,
+       (SELECT count(*) FROM l WHERE l.a = d.doc_id) AS n_links FROM d LEFT JOIN n USING (doc_id)
 """
 
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -46,9 +47,14 @@ def test_toxicity_learns_stems(spark):
     assert toxicity.score_toxicity(d, empty).filter("score <> 0.5").isEmpty()
 
 
+def shingles(text):
+    """The word sequences themselves, by their own rule."""
+    w = [x for x in re.split(r"[\x20\x09-\x0d]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")) if x]
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
 def brute_components(rows, percent=75):
-    known = jaccard_join.WordHashes()
-    sets = [set(jaccard_join.shingle_hashes((t or "").encode(), 5, known).tolist()) for _, t in rows]
+    sets = [shingles(t) for _, t in rows]
     parent = list(range(len(rows)))
 
     def find(x):
@@ -79,7 +85,8 @@ def test_jaccard_components(spark, seed):
             for _ in range(rnd.randrange(0, 6)):
                 own[rnd.randrange(len(own))] = "zz" + str(rnd.randrange(50))
             rows.append((rnd.randrange(10, 10_000), " ".join(own)))
-    got = sorted((tuple(r) for r in jaccard_join.jaccard_components(docs(spark, rows).withColumn("n", F.lit(1))).collect()), key=str)
+    found = jaccard_join.jaccard_components(docs(spark, rows).withColumn("n", F.lit(1))).select("doc_id", "n_shingles", "component_id")
+    got = sorted((tuple(r) for r in found.collect()), key=str)
     assert got == brute_components(rows)
     assert jaccard_join.jaccard_components(docs(spark, [])).isEmpty()
 
@@ -96,7 +103,7 @@ def test_jaccard_links_within_a_component(spark, monkeypatch):
             own[rnd.randrange(len(own))] = "zz" + str(k)
         rows += [(100 + k, " ".join(own))] * rnd.choice([1, 1, 3])
     got = sorted((tuple(r) for r in jaccard_join.jaccard_links(docs(spark, rows)).collect()), key=str)
-    sets = [set(jaccard_join.shingle_hashes((t or "").encode(), 5, jaccard_join.WordHashes()).tolist()) for _, t in rows]
+    sets = [shingles(t) for _, t in rows]
     linked = lambda a, b: bool(a & b) and 100 * len(a & b) >= 75 * len(a | b)
     n_links = [sum(linked(x, y) for j, y in enumerate(sets) if i != j) for i, x in enumerate(sets)]
     component = {(doc, n): c for doc, n, c in brute_components(rows)}
@@ -105,6 +112,14 @@ def test_jaccard_links_within_a_component(spark, monkeypatch):
     assert jaccard_join.jaccard_links(docs(spark, [])).isEmpty()
 
 
+def test_one_row_of_each_component_stays(spark):
+    a, b = words(900, 60), words(901, 60)
+    rows = [(3, a), (5, a), (5, b), (7, b), (7, b), (None, b), (None, a), (8, ""), (8, ""), (9, None), (None, words(902, 60)), (None, words(902, 60)), (11, words(903, 9)), (11, words(903, 9))]
+    d = docs(spark, rows).withColumn("__id", F.lit(1)).withColumn("__key", F.lit("x"))
+    got = sorted(((r.doc_id, r.text) for r in jaccard_join.drop_near_copies(d).collect()), key=str)
+    assert got == sorted([(3, a), (5, b), (8, ""), (8, ""), (9, None), (None, words(902, 60)), (11, words(903, 9))], key=str)
+
+
 def test_exact_dedup(spark):
     rows = EDGE + [(k, "copy") for k in range(20)] + [(50, "Copy"), (None, "same")]
     got = {(r.doc_id, r.text): r for r in exact_dedup.exact_dedup(docs(spark, rows).withColumn("keep_id", F.lit("clash")), capacity=2, bits=6).collect()}

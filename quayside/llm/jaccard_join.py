@@ -10,8 +10,8 @@ Three steps get each document's shingles in rare-first order without a row per s
    unshared ones; if these fill it, the document has no partner and leaves the join.
 
 Equal sets collapse to one node. Nodes join on prefix shingles: the smaller set's index prefix with the larger one's probe
-prefix, under the length filter and the positional filter. A pair that survives is deduplicated, passes the suffix
-filter (overlap bounded by cells of the hash space), and its sets are intersected once.
+prefix, under the length filter, the positional filter and the suffix filter (images of the sets in 512 bits bound their
+difference from below). A pair that survives is deduplicated, and its sets are intersected once.
 
 A large group of near copies would make all its pairs once for each token they share. So blocks first link their nodes
 to a leader; after connecting those, only pairs across components are joined. Components come out the same as from
@@ -39,17 +39,16 @@ from quayside.llm.components import components
 MIX = np.uint64(0x9E3779B97F4A7C15)
 CHUNK_SHINGLES = 2_000_000
 PART_SHINGLES = 1_000_000
-#: Hash cells of the suffix filter.
-CELLS = 16
-CELL_SHIFT = np.uint64(64 - CELLS.bit_length() + 1)
+#: 64-bit words of the images of sets in the suffix filter; each shared shingle sets a bit.
+IMAGE = 8
 #: Nodes and shingles of a slot, and shingles of a matrix, where links are counted.
 SLOT_NODES = 512
 SLOT_WEIGHT = 500_000
 SLOT_SHINGLES = 4096
 CELL = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), ("kind", pa.int32()), ("blob", pa.binary())])
 CELL_DDL = "part int, chunk long, kind int, blob binary"
-NODE = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n_shingles", pa.int64()), ("sig", pa.binary()), ("unshared", pa.int64()), ("shared", pa.list_(pa.int64())), ("cells", pa.list_(pa.int32()))])
-NODE_DDL = "doc_id long, key long, n_shingles long, sig binary, unshared long, shared array<long>, cells array<int>"
+NODE = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n_shingles", pa.int64()), ("sig", pa.binary()), ("unshared", pa.int64()), ("shared", pa.list_(pa.int64())), ("image", pa.list_(pa.int64()))])
+NODE_DDL = "doc_id long, key long, n_shingles long, sig binary, unshared long, shared array<long>, image array<long>"
 
 
 class WordHashes(dict):
@@ -232,14 +231,16 @@ def _order(percent: int):
         order = np.lexsort((h, df, ref))
         h, ref = h[order].view(np.int64), ref[order]
         edges = np.searchsorted(ref, np.arange(len(n) + 1))
-        spread = np.bincount(ref.astype(np.int64) * CELLS + (h.view(np.uint64) >> CELL_SHIFT).astype(np.int64), minlength=len(n) * CELLS).reshape(-1, CELLS).astype(np.int32)
+        bits = np.zeros((len(n), 64 * IMAGE), bool)
+        bits[ref, h.view(np.uint64) % np.uint64(64 * IMAGE)] = True
+        images = np.packbits(bits, axis=1).view(np.int64)
         sig = sigs.tobytes()
         rows = []
         for i in range(len(n)):
             size, m = int(n[i]), int(edges[i + 1] - edges[i])
             probes = size > 0 and size - m < prefix_sizes(size, percent)[0]
             doc, key = (int(x[i : i + 1].view(np.int64)[0]) for x in (known, keys))
-            rows.append((None if null[i] else doc, key, size, sig[16 * i : 16 * i + 16], size - m, h[edges[i] : edges[i + 1]] if probes else None, spread[i] if probes else None))
+            rows.append((None if null[i] else doc, key, size, sig[16 * i : 16 * i + 16], size - m, h[edges[i] : edges[i + 1]] if probes else None, images[i] if probes else None))
             if len(rows) >= 2048:
                 yield _rows(rows, NODE)
                 rows = []
@@ -265,7 +266,7 @@ def _order(percent: int):
 
 
 def ordered_sets(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
-    """Written, one row a document: doc_id, key (of its text), n_shingles, sig, unshared; ``shared`` (rare first) and ``cells`` unless its prefix is unshared."""
+    """Written, one row a document: doc_id, key (of its text), n_shingles, sig, unshared; ``shared`` (rare first) and ``image`` unless its prefix is unshared."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("key"), "text")
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -281,43 +282,52 @@ def text_key() -> Column:
     return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
 
 
+def _can_link(x: dict[str, Column], y: dict[str, Column], percent: int) -> Column:
+    """Length, positional and suffix filter of two prefix rows; each only drops pairs that can't link, or meet on an earlier token too."""
+    total = x["n"] + y["n"]
+    lengths = 100 * F.least(x["n"], y["n"]) >= percent * F.greatest(x["n"], y["n"])
+    positions = (100 + percent) * F.least(x["n"] - x["pos"], y["n"] - y["pos"]) >= percent * total  # 100 I >= percent (total - I)
+    differ = x["unshared"] + y["unshared"]
+    for i in range(IMAGE):
+        differ = differ + F.bit_count(x["image"][i].bitwiseXOR(y["image"][i]))
+    return lengths & positions & ((100 + percent) * differ <= (100 - percent) * total)
+
+
 def _verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Links among (a, b): suffix filter (overlap bounded by cells of the hash space), then the intersection of both sets."""
-    side = lambda s: nodes.select(F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("cells").alias(f"c{s}"), F.col("shared").alias(f"s{s}"))
+    """Links among (a, b), by the intersection of both sets."""
+    side = lambda s: nodes.select(F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("shared").alias(f"s{s}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    most = F.aggregate(F.zip_with("ca", "cb", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
-    enough = lambda i: (100 + percent) * i >= percent * (F.col("na") + F.col("nb"))  # noqa: E731  100 I >= percent (na + nb - I)
-    return both.filter(enough(most)).filter(enough(F.size(F.array_intersect("sa", "sb")))).select("a", "b")
+    return both.filter((100 + percent) * F.size(F.array_intersect("sa", "sb")) >= percent * (F.col("na") + F.col("nb"))).select("a", "b")
 
 
 def set_classes(sets: DataFrame) -> DataFrame:
-    """Written, one row a class of equal sets that takes part: node, n, unshared, copies (its rows), shared, cells."""
+    """Written, one row a class of equal sets that takes part: node, n, unshared, copies (its rows), shared, image."""
     groups = sets.filter("shared is not null").groupBy(F.col("sig").alias("node"))
     one = lambda c: F.first(c).alias(c)  # noqa: E731  equal in the class
-    return cut(groups.agg(F.first("n_shingles").alias("n"), one("unshared"), F.count(F.lit(1)).alias("copies"), one("shared"), one("cells")), "shingle-nodes")
+    return cut(groups.agg(F.first("n_shingles").alias("n"), one("unshared"), F.count(F.lit(1)).alias("copies"), one("shared"), one("image")), "shingle-nodes")
 
 
 def _prefixes(nodes: DataFrame, percent: int) -> DataFrame:
-    """Written: token, node, n, pos, indexed, for the prefix tokens on which some pair can meet."""
+    """Written: token, node, n, unshared, image, pos, indexed, for the prefix tokens on which some pair can meet."""
     n = F.col("n")
     probe = n - F.ceil(percent * n / 100) + 1
     index = n - F.ceil(2 * percent * n / (100 + percent)) + 1
-    rows = nodes.select("node", "n", "unshared", probe.cast("int").alias("probe"), index.cast("int").alias("index"), "shared")
+    rows = nodes.select("node", "n", "unshared", probe.cast("int").alias("probe"), index.cast("int").alias("index"), "shared", "image")
     own = F.slice("shared", F.lit(1), F.greatest(F.lit(0), F.least(F.size("shared"), F.col("probe") - F.col("unshared")).cast("int")))
-    rows = rows.select("node", "n", "unshared", "index", F.posexplode(own).alias("k", "token"))
+    rows = rows.select("node", "n", "unshared", "index", "image", F.posexplode(own).alias("k", "token"))
     pos = F.col("unshared") + F.col("k")
-    rows = rows.select("token", "node", "n", pos.alias("pos"), (pos < F.col("index")).alias("indexed"))
+    rows = rows.select("token", "node", "n", "unshared", "image", pos.alias("pos"), (pos < F.col("index")).alias("indexed"))
     block = rows.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.max("indexed").alias("any"))
     return cut(rows.join(block.filter("size > 1 and any").select("token"), "token"), "shingle-prefixes")
 
 
-def similar_components(nodes: DataFrame, percent: int = 75, leader_rounds: int = 5) -> DataFrame:
+def similar_components(nodes: DataFrame, percent: int = 75, leader_rounds: int = 3) -> DataFrame:
     """Written, (sig, root): the classes that link with others, with their component's smallest class.
 
     ``leader_rounds`` only bounds the shortcut: the pairs across components that are left are all joined.
     """
     prefix = _prefixes(nodes, percent)
-    overlap = lambda n1, p1, n2, p2: (100 + percent) * F.least(n1 - p1, n2 - p2) >= percent * (n1 + n2)
+    fields = ["node", "n", "unshared", "image", "pos", "root"]
     links, tried, done = [], [], []
     rows, labels = prefix.withColumn("root", F.col("node")), None
     for k in range(leader_rounds + 1):
@@ -329,9 +339,9 @@ def similar_components(nodes: DataFrame, percent: int = 75, leader_rounds: int =
             break
         # 4**k families of leaders: blocks of a family that have the same nodes have the same leader
         rank = F.xxhash64("node", F.pmod("token", F.lit(4**k)), F.lit(k))
-        leaders = rows.groupBy("token").agg(F.min_by(F.struct("node", "n", "pos", "root"), F.struct(rank, "node")).alias("lead"))
-        fits = 100 * F.least("n", "lead.n") >= percent * F.greatest("n", "lead.n")
-        pairs = rows.join(leaders, "token").filter((F.col("root") != F.col("lead.root")) & fits & overlap(F.col("n"), F.col("pos"), F.col("lead.n"), F.col("lead.pos")))
+        leaders = rows.groupBy("token").agg(F.min_by(F.struct(*fields), F.struct(rank, "node")).alias("lead"))
+        fits = _can_link({c: F.col(c) for c in fields}, {c: F.col(f"lead.{c}") for c in fields}, percent)
+        pairs = rows.join(leaders, "token").filter((F.col("root") != F.col("lead.root")) & fits)
         pairs = pairs.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct()
         for old in tried:
             pairs = pairs.join(old, ["a", "b"], "left_anti")
@@ -345,10 +355,10 @@ def similar_components(nodes: DataFrame, percent: int = 75, leader_rounds: int =
         rows = cut(rooted.join(open_, "token"), "shingle-open")
         if k:
             drop_cut(done[-1])
-    x = rows.filter("indexed").select("token", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"), F.col("root").alias("rx"))
-    y = rows.select("token", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"), F.col("root").alias("ry"))
-    cross = x.join(y, "token").filter("rx <> ry and (nx < ny or (nx = ny and x < y))").filter(100 * F.col("nx") >= percent * F.col("ny"))
-    pairs = cross.filter(overlap(F.col("nx"), F.col("px"), F.col("ny"), F.col("py"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    x, y = rows.filter("indexed").select("token", F.struct(*fields).alias("x")), rows.select("token", F.struct(*fields).alias("y"))
+    ahead = (F.col("x.root") != F.col("y.root")) & (F.struct("x.n", "x.node") < F.struct("y.n", "y.node"))
+    cross = x.join(y, "token").filter(ahead & _can_link({c: F.col(f"x.{c}") for c in fields}, {c: F.col(f"y.{c}") for c in fields}, percent))
+    pairs = cross.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
     for old in tried:
         pairs = pairs.join(old, ["a", "b"], "left_anti")
     pairs = cut(pairs, "shingle-pairs")

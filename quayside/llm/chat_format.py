@@ -20,7 +20,7 @@ from quayside.llm.common import cut
 CALLS = "struct<content:string,tool_calls:array<struct<id:string,name:string,arguments:string>>>"
 RESULT = "struct<tool_call_id:string,content:string>"
 #: JSON kinds of schema_of_variant, by the type names of tool schemas.
-KINDS = {"string": "STRING", "integer": "BIGINT", "number": "BIGINT|DECIMAL.*|DOUBLE", "boolean": "BOOLEAN", "object": "OBJECT.*", "array": "ARRAY.*", "null": "VOID"}
+KINDS = {"string": "STRING", "integer": r"BIGINT|DECIMAL\(\d+,0\)", "number": "BIGINT|DECIMAL.*|DOUBLE", "boolean": "BOOLEAN", "object": "OBJECT.*", "array": "ARRAY.*", "null": "VOID"}
 TOOL_SCHEMA = "name string, param string, type string, required boolean"
 
 
@@ -36,7 +36,8 @@ def _problems(args: Column, spec: Column) -> Column:
         lambda s: F.concat(F.lit("type:"), s["param"]),
     )
     unknown = F.transform(F.filter(names, lambda n: ~F.exists(spec, lambda s: s["param"] == n)), lambda n: F.concat(F.lit("unknown:"), n))
-    return F.when(spec.isNull(), F.array(F.lit("no such tool"))).when(given.isNull(), F.array(F.lit("arguments are no object"))).otherwise(F.array_sort(F.concat(missing, wrong, unknown)))
+    broken = args.isNotNull() & F.try_parse_json(args).isNull()  # not JSON, or a name twice
+    return F.when(spec.isNull(), F.array(F.lit("no such tool"))).when(broken, F.array(F.lit("arguments do not parse"))).when(given.isNull(), F.array(F.lit("arguments are no object"))).otherwise(F.array_sort(F.concat(missing, wrong, unknown)))
 
 
 def _order(edges: DataFrame) -> DataFrame:
@@ -75,7 +76,8 @@ def format_chats(conversations: DataFrame, tools: DataFrame) -> DataFrame:
 
     ``tools`` has name, param, type (of ``KINDS``), required; a tool without parameters has one row with a null param.
     ``kind``: message, calls, result or orphan (a result whose call is not there). Null roles and texts count as empty.
-    Text that isn't of the JSON forms above is an ordinary message. Of calls that repeat an identifier the first by
+    Text that isn't of the JSON forms above is an ordinary message. Arguments that do not parse (or name a field twice) are
+    a problem and stay as the text that they are; missing ones stay out. 1.0 counts as an integer, and is written as 1. Of calls that repeat an identifier the first by
     (turn, position) answers to it, the others are problems. Repeated messages stay. Calls that wait for
     each other, and messages behind them, keep the order of their turns and have the problem "cycle".
     """
@@ -114,7 +116,7 @@ def format_chats(conversations: DataFrame, tools: DataFrame) -> DataFrame:
     problems = F.concat(F.coalesce(F.flatten(F.transform("found", lambda f: f["problems"])), F.array().cast("array<string>")), F.when(cycle, F.array(F.lit("cycle"))).otherwise(F.array().cast("array<string>")))
     is_result = F.col("r.tool_call_id").isNotNull()
     kind = F.when(F.size("c.tool_calls") > 0, "calls").when(is_result & F.col("call_turn").isNotNull(), "result").when(is_result, "orphan").otherwise("message")
-    shown = F.transform("c.tool_calls", lambda c: F.struct(F.coalesce(F.try_parse_json(c["arguments"]), F.to_variant_object(F.array().cast("array<string>"))).alias("arguments"), c["id"].alias("id"), c["name"].alias("name")))
+    shown = F.transform("c.tool_calls", lambda c: F.struct(F.coalesce(F.try_parse_json(c["arguments"]), c["arguments"].cast("variant")).alias("arguments"), c["id"].alias("id"), c["name"].alias("name")))
     json = F.to_json(F.struct(
         F.when(F.col("kind") == "calls", F.coalesce("c.content", F.lit(""))).when(is_result, F.coalesce("r.content", F.lit(""))).otherwise(F.col("text")).alias("content"),
         F.col("role"),

@@ -1,10 +1,10 @@
 """Benchmark decontamination by canonical templates, with DataFrame functions alone.
 
 Numbers, names and units become typed placeholders, so that a question with other parameters has the same template.
-Windows of a few template tokens of every document, at a step that misses no qualifying alignment, are hash-joined
-with those of the benchmark items; an alignment found so is compared token by token, with the slots' values. Along one alignment (document position less item position) each value of the item must
-stand for one value of the document, else the alignment is not a re-parameterised copy and counts for nothing. A
-document is contaminated by an item if the windows of its consistent alignments cover ``min_share`` of the item's.
+Windows of a few template tokens of every document are hash-joined with those of the benchmark items; an alignment found
+so is compared token by token, with the slots' values. Along one alignment (document position less item position) each
+value of the item must stand for one value of the document, else the alignment is not a re-parameterised copy and counts
+for nothing. A document is contaminated by an item if the windows of its consistent alignments cover ``min_share`` of the item's.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quayside.llm.common import fresh_names
+
 #: Placeholders; the first character is a letter (U+01C1) that ordinary text lacks.
 NUM, NAME, UNIT = "ǁnum", "ǁname", "ǁunit"
 #: Joins the parts of a decimal number in one token.
@@ -26,20 +28,6 @@ UNITS = (
 ).split()
 
 
-def exact_stride(window: int, min_share: float) -> int:
-    """Largest step between a document's windows that finds every alignment of two runs or more with ``min_share`` of an item's windows.
-
-    Not for one run, nor for an item whose windows lie on several alignments: ``find_leaks`` looks up shorter grams instead.
-
-    A run of window + step - 1 equal tokens holds a window at one of the steps. If all runs are shorter, each adds at
-    most step - 1 windows, and k of them (the item may continue between runs) stay under the share.
-    """
-    step = 1
-    while step < window and all(k * step < min_share * (k * (window + step - 1) - window + 1) for k in range(2, 60)):
-        step += 1
-    return step
-
-
 def _split(text: Column) -> Column:
     return F.array_remove(F.split(text, r"[^\p{L}\p{N}]+"), "")
 
@@ -64,58 +52,70 @@ def _hashes(tokens: str) -> Column:
     return F.transform(tokens, lambda t: F.xxhash64(t))
 
 
-def _windows(hashes: Column, n: int, step: int) -> Column:
-    """(position, hash) of the windows of ``n`` tokens, from the column of the tokens' hashes; null without one.
+def _windows(hashes: Column, n: int, step: int, kind: int) -> Column:
+    """(n, pos, h) of the windows of ``n`` tokens at every ``step``, from the column of the tokens' hashes; null without one.
 
-    The hashes must be a column of an earlier projection: inside the lambda an expression would run again each time.
+    ``kind`` goes into each hash, so that windows of one kind only meet their own. The hashes must be a column of an earlier
+    projection: inside the lambda an expression would run again each time.
     """
     places = F.sequence(F.lit(0), F.size(hashes) - n, F.lit(step))
-    return F.when(F.size(hashes) >= n, F.transform(places, lambda i: F.struct(i.alias("pos"), F.xxhash64(*[F.get(hashes, i + k) for k in range(n)]).alias("h"))))
+    one = lambda i: F.struct(F.lit(kind).alias("n"), i.alias("pos"), F.xxhash64(F.lit(kind), *[F.get(hashes, i + k) for k in range(n)]).alias("h"))
+    return F.when(F.size(hashes) >= n, F.transform(places, one))
+
+
+def _all_windows(hashes: Column, kinds: list[tuple[int, int, int]]) -> Column:
+    """Of each kind (n, gram, step), in one array."""
+    return F.flatten(F.filter(F.array(*[_windows(hashes, gram, step, n) for n, gram, step in kinds]), lambda w: w.isNotNull()))
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 5, min_share: float = 0.5, max_broadcast: int = 500_000, units: list[str] = UNITS) -> DataFrame:
-    """Pairs of documents and the items they leak: __id, __hash, __len, item_id, share.
+def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 5, min_share: float = 0.5, max_broadcast: int = 500_000, units: list[str] = UNITS, names: list[str] | None = None) -> DataFrame:
+    """Pairs of documents and the items they leak: a row key (id, hash and length of the text, under ``names``), item_id, share.
 
     Items shorter than a window are one window of their own length. Items without tokens match nothing.
     A window at any position holds a gram of one token less at an even one: documents look up those grams at every
-    second position, and the alignments that they give are compared whole.
-    Up to ``max_broadcast`` benchmark windows (some 30 bytes each) and the items' tokens are broadcast; with more the
-    joins shuffle.
+    second position, and the alignments that they give are compared whole. Each document is read, and made canonical, once.
+    With up to ``max_broadcast`` tokens in all (some 60 bytes each with their windows) the benchmark is broadcast. With
+    more, bare windows are joined by shuffles, and a document's text is fetched once for all that it met.
     """
+    doc = names or fresh_names(docs, "id", "hash", "len")
     text = F.coalesce(F.col("text"), F.lit(""))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text.alias("text")).distinct()
     items = items.select("item_id", F.xxhash64("item_id", "text").alias("item"), _raw(F.col("text")).alias("iraw"), _canonical(F.col("text"), units).alias("itok"))
     items = items.filter("size(itok) > 0").withColumn("n", F.when(F.size("itok") < window, F.size("itok")).otherwise(F.lit(window)))
-    lengths = sorted(r.n for r in items.select("n").distinct().collect())  # a few
-    doc = ["__id", "__hash", "__len"]
-    if not lengths:
-        return docs.select(*_row_key(), F.lit(None).cast("long").alias("item_id"), F.lit(0.0).alias("share")).limit(0)
-    rows = docs.select(*_row_key(), text.alias("text"), _canonical(text, units).alias("tokens")).withColumn("hashes", _hashes("tokens"))
-    sides = []
-    for n in lengths:
-        own = items.filter(F.col("n") == n)
-        gram, every = (n - 1, 2) if n == window > 2 else (n, 1)
-        side = own.withColumn("hashes", _hashes("itok")).select("item", F.explode_outer(_windows(F.col("hashes"), gram, 1)).alias("w")).select("item", F.col("w.pos").alias("ipos"), F.col("w.h").alias("h"))
-        sides.append((n, gram, every, side))
-    small = sum(side.count() for *_, side in sides) <= max_broadcast
+    sizes = items.groupBy("n").agg(F.sum(F.size("itok")).alias("tokens")).collect()  # a row for each length up to a window
+    if not sizes:
+        return docs.select(*_row_key(doc), F.lit(None).cast("long").alias("item_id"), F.lit(0.0).alias("share")).limit(0)
+    small = sum(r.tokens for r in sizes) <= max_broadcast
+    kinds = [(n, n - 1, 2) if n == window > 2 else (n, n, 1) for n in sorted(r.n for r in sizes)]
+    rows = docs.select(*_row_key(doc), text.alias("text"), _canonical(text, units).alias("tokens")).withColumn("hashes", _hashes("tokens"))
+    side = None
+    for n, gram, _ in kinds:
+        own = items.filter(F.col("n") == n).withColumn("hashes", _hashes("itok")).select("item", F.explode_outer(_windows(F.col("hashes"), gram, 1, n)).alias("w"))
+        side = own if side is None else side.unionByName(own)
+    side = side.select("item", F.col("w.pos").alias("ipos"), F.col("w.h").alias("h"))
     held = (lambda df: F.broadcast(df)) if small else (lambda df: df.hint("shuffle_merge"))
-    found = None
-    for n, gram, every, side in sides:
-        windows = rows.select("*", F.explode_outer(_windows(F.col("hashes"), gram, every)).alias("w")).select(*doc, "text", "tokens", F.col("w.pos").alias("pos"), F.col("w.h").alias("h"))
-        pairs = windows.join(held(side), "h").join(held(items), "item")
-        places = F.sequence(F.lit(0), F.size("itok") - 1)
-        diag = F.col("pos") - F.col("ipos")
-        equal = F.transform(places, lambda j: F.coalesce(F.get("tokens", diag + j) == F.get("itok", j), F.lit(False)))
-        pairs = pairs.withColumn("diag", diag).withColumn("equal", equal).filter("size(equal) > 0")  # a second use: the column stays one
-        at = F.filter(F.slice(places, F.lit(1), F.size("itok") - n + 1), lambda i: F.forall(F.slice("equal", i + 1, n), lambda x: x))
-        # values of the slots, looked up where the item has any
-        raw = F.when(F.exists("itok", lambda t: F.substring(t, 1, 1) == NUM[0]), _raw(F.col("text")))
-        pairs = pairs.withColumn("at", at).withColumn("raw", raw)
-        in_slot = lambda j: (F.substring(F.get("itok", j), 1, 1) == NUM[0]) & F.exists("at", lambda i: (i <= j) & (j < i + n))  # noqa: E731, B023
-        slot = lambda j: F.struct(F.struct(F.get("itok", j).alias("kind"), F.get("iraw", j).alias("value")).alias("i"), F.get("raw", F.col("diag") + j).alias("d"))
-        slots = F.array_distinct(F.transform(F.filter(places, in_slot), slot))
-        pairs = pairs.filter("size(at) > 0").select(*doc, "item_id", "item", (F.size("itok") - n + 1).alias("of"), "diag", "at", slots.alias("slots"))
-        found = pairs if found is None else found.unionByName(pairs)
+    windows = rows.select("*", F.explode_outer(_all_windows(F.col("hashes"), kinds)).alias("w"))
+    diag = F.col("pos") - F.col("ipos")
+    if small:
+        windows = windows.select(*doc, "text", "tokens", F.col("w.pos").alias("pos"), F.col("w.h").alias("h"))
+        pairs = windows.join(held(side), "h").withColumn("diag", diag)
+    else:
+        met = windows.select(*doc, F.col("w.pos").alias("pos"), F.col("w.h").alias("h")).join(held(side), "h")
+        met = met.select(*doc, "item", diag.alias("diag")).distinct()
+        pairs = met.join(rows.select(*doc, "text", "tokens").dropDuplicates(doc), doc)
+    pairs = pairs.join(held(items), "item")
+    n = F.col("n")
+    places = F.sequence(F.lit(0), F.size("itok") - 1)
+    equal = F.transform(places, lambda j: F.coalesce(F.get("tokens", F.col("diag") + j) == F.get("itok", j), F.lit(False)))
+    pairs = pairs.withColumn("equal", equal).filter("size(equal) > 0")  # a second use: the column stays one
+    at = F.filter(F.slice(places, F.lit(1), F.size("itok") - n + 1), lambda i: F.forall(F.slice("equal", i + 1, n), lambda x: x))
+    # values of the slots, looked up where the item has any
+    raw = F.when(F.exists("itok", lambda t: F.substring(t, 1, 1) == NUM[0]), _raw(F.col("text")))
+    pairs = pairs.withColumn("at", at).withColumn("raw", raw)
+    in_slot = lambda j: (F.substring(F.get("itok", j), 1, 1) == NUM[0]) & F.exists("at", lambda i: (i <= j) & (j < i + n))
+    slot = lambda j: F.struct(F.struct(F.get("itok", j).alias("kind"), F.get("iraw", j).alias("value")).alias("i"), F.get("raw", F.col("diag") + j).alias("d"))
+    slots = F.array_distinct(F.transform(F.filter(places, in_slot), slot))
+    found = pairs.filter("size(at) > 0").select(*doc, "item_id", "item", (F.size("itok") - n + 1).alias("of"), "diag", "at", slots.alias("slots"))
     aligned = found.groupBy(*doc, "item_id", "item", "of", "diag").agg(F.first("at").alias("at"), F.first("slots").alias("slots"))  # all are equal
     keys = F.size(F.array_distinct(F.transform("slots", lambda s: s["i"])))
     per_item = aligned.filter(keys == F.size("slots")).groupBy(*doc, "item_id", "item", "of").agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("n"))
@@ -123,9 +123,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 5, min_share
     return shares.groupBy(*doc, "item_id").agg(F.max("share").alias("share"))
 
 
-def _row_key() -> list[Column]:
+def _row_key(names: list[str]) -> list[Column]:
     text = F.coalesce(F.col("text"), F.lit(""))
-    return [F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__id"), F.xxhash64(text).alias("__hash"), F.length(text).alias("__len")]
+    parts = [F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.xxhash64(text), F.length(text)]
+    return [p.alias(n) for p, n in zip(parts, names)]
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
@@ -136,11 +137,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
     replaced.
     """
     docs = docs.drop("contaminated", "n_items", "items", "share")
-    leaks = find_leaks(docs, benchmark, **options)
-    per_doc = leaks.groupBy("__id", "__hash", "__len").agg(F.array_sort(F.collect_set("item_id")).alias("items"), F.max("share").alias("share"))
-    joined = docs.select("*", *_row_key()).join(per_doc, ["__id", "__hash", "__len"], "left")
+    names = fresh_names(docs, "id", "hash", "len")
+    leaks = find_leaks(docs, benchmark, names=names, **options)
+    per_doc = leaks.groupBy(*names).agg(F.array_sort(F.collect_set("item_id")).alias("items"), F.max("share").alias("share"))
+    joined = docs.select("*", *_row_key(names)).join(per_doc, names, "left")
     return joined.select(
-        *docs.columns,
+        *[F.col(f"`{c}`") for c in docs.columns],
         F.col("items").isNotNull().alias("contaminated"),
         F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
         F.coalesce("items", F.array().cast("array<bigint>")).alias("items"),

@@ -77,19 +77,36 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, (SELECT min(b) FROM r WHERE r.a
 """
 
 
-#: Tools of the chat query; the conversations name their calls by these schemas.
+#: The tool of the chat query.
 TOOLS = [
     ("search", "query", "string", True),
     ("search", "limit", "integer", False),
+    ("search", "after", "string", False),
     ("calculate", "expression", "string", True),
     ("fetch", "url", "string", True),
 ]
 
 
+def as_tool_dialogue(conversations: DataFrame) -> DataFrame:
+    """Plain conversations as dialogues with a tool: a user's turn becomes a call of ``search`` with its text, and the turn after it the result.
+
+    Every second call waits for the result of the call before it. All other turns stay messages.
+    """
+    turn = F.col("turn")
+    name = lambda t: F.concat(F.lit("c"), t.cast("string"))
+    after = F.when(turn % 4 == 2, F.struct(name(turn - 2).alias("$result")))
+    call = F.struct(name(turn).alias("id"), F.lit("search").alias("name"), F.struct(F.coalesce("text", F.lit("")).alias("query"), after.alias("after")).alias("arguments"))
+    result = F.struct(name(turn - 1).alias("tool_call_id"), F.col("text").alias("content"))
+    asks, answers = F.col("role") == "user", F.col("role") == "assistant"
+    role = F.when(asks, "assistant").when(answers, "tool").otherwise(F.col("role"))
+    text = F.when(asks, F.to_json(F.struct(F.array(call).alias("tool_calls")))).when(answers, F.to_json(result)).otherwise(F.col("text"))
+    return conversations.select("conv_id", "turn", role.alias("role"), text.alias("text"))
+
+
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quayside.llm.chat_format import TOOL_SCHEMA, format_chats
 
-    return format_chats(table(spark, sf_dir, "conversations"), spark.createDataFrame(TOOLS, TOOL_SCHEMA))
+    return format_chats(as_tool_dialogue(table(spark, sf_dir, "conversations")), spark.createDataFrame(TOOLS, TOOL_SCHEMA))
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from re import _parser as parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quayside.llm.common import cut
+from quayside.llm.common import cut, drop_cut, fresh_names
 
 #: Marks the spans of a match in a copy of the text; its own occurrences are replaced by STAND_IN first.
 MARK, STAND_IN = "﷐", "﷑"
@@ -132,22 +132,27 @@ def trigram_query(pattern: str) -> list[list[str]]:
     return clauses
 
 
-def _row_key() -> list[Column]:
+def _row_key(names: list[str]) -> list[Column]:
     text = F.coalesce(F.col("text"), F.lit(""))
-    return [F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__id"), F.xxhash64(text).alias("__hash"), F.length(text).alias("__len")]
+    parts = [F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.xxhash64(text), F.length(text)]
+    return [p.alias(n) for p, n in zip(parts, names)]
+
+
+#: The row key of postings: id, hash and length of the text.
+DOC = ["id", "hash", "len"]
 
 
 def build_index(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> tuple[dict[str, list[list[str]]], DataFrame]:
-    """The rules' queries, and the written postings: gram, and the document as __id, __hash, __len."""
+    """The rules' queries, and the written postings: gram, and the document as id, hash, len."""
     plans = {r.kind: trigram_query(r.pattern) for r in rules}
     grams = sorted({s[i : i + 3] for q in plans.values() for c in q for s in c for i in range(len(s) - 2)})
-    low = docs.select(*_row_key(), F.lower(F.coalesce("text", F.lit(""))).alias("low"))
+    low = docs.select(*_row_key(DOC), F.lower(F.coalesce("text", F.lit(""))).alias("low"))
     held = F.filter(F.array(*[F.lit(g) for g in grams]), lambda g: F.contains(F.col("low"), g)) if grams else F.array().cast("array<string>")
-    return plans, cut(low.select("__id", "__hash", "__len", F.explode_outer(held).alias("gram")).filter("gram is not null"), "postings")
+    return plans, cut(low.select(*DOC, F.explode_outer(held).alias("gram")).filter("gram is not null"), "postings")
 
 
 def candidates(plans: dict[str, list[list[str]]], postings: DataFrame) -> DataFrame:
-    """Documents with ``__rules``: the kinds whose trigram query they satisfy."""
+    """Documents (id, hash, len) with ``rules``: the kinds whose trigram query they satisfy."""
     spark = postings.sparkSession
     rows = []
     for kind, clauses in plans.items():
@@ -157,10 +162,9 @@ def candidates(plans: dict[str, list[list[str]]], postings: DataFrame) -> DataFr
                 rows += [(g, kind, c, len(clauses), a, 1 << i, (1 << len(own)) - 1) for i, g in enumerate(own)]
     schema = "gram string, kind string, clause int, clauses int, alt int, bit long, full long"
     wanted = F.broadcast(spark.createDataFrame(rows, schema))  # as many rows as the rules have trigrams
-    doc = ["__id", "__hash", "__len"]
-    strings = postings.join(wanted, "gram").groupBy(*doc, "kind", "clauses", "clause", "alt", "full").agg(F.bit_or("bit").alias("bits"))
-    clauses = strings.filter("bits = full").groupBy(*doc, "kind", "clauses").agg(F.count_distinct("clause").alias("n"))
-    return clauses.filter("n = clauses").groupBy(*doc).agg(F.collect_set("kind").alias("__rules"))
+    strings = postings.join(wanted, "gram").groupBy(*DOC, "kind", "clauses", "clause", "alt", "full").agg(F.bit_or("bit").alias("bits"))
+    clauses = strings.filter("bits = full").groupBy(*DOC, "kind", "clauses").agg(F.count_distinct("clause").alias("n"))
+    return clauses.filter("n = clauses").groupBy(*DOC).agg(F.collect_set("kind").alias("rules"))
 
 
 def _spans(text: Column, rule: Rule, order: int) -> Column:
@@ -191,19 +195,20 @@ def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """
     docs = docs.drop("spans")
     plans, postings = build_index(docs, rules)
-    found = candidates(plans, postings)
-    keyed = docs.select("*", *_row_key())
-    joined = keyed.join(found, ["__id", "__hash", "__len"], "left").drop("__id", "__hash", "__len")
+    *names, kinds = fresh_names(docs, *DOC, "rules")
+    found = cut(candidates(plans, postings).select(*[F.col(c).alias(n) for c, n in zip([*DOC, "rules"], [*names, kinds])]), "candidates")
+    drop_cut(postings)
+    joined = docs.select("*", *_row_key(names)).join(found, names, "left").drop(*names)
     text = F.replace(F.coalesce(F.col("text"), F.lit("")), F.lit(MARK), F.lit(STAND_IN))
     none = F.array().cast(SPAN)
     spans = []
     for order, rule in enumerate(rules):
         if plans[rule.kind]:
-            check = F.array_contains(F.coalesce("__rules", F.array().cast("array<string>")), rule.kind)
+            check = F.array_contains(F.coalesce(kinds, F.array().cast("array<string>")), rule.kind)
         else:
             check = text.rlike(rule.pattern)
         spans.append(F.when(check, _spans(text, rule, order).cast(SPAN)).otherwise(none))
-    return joined.withColumn("spans", F.array_sort(F.concat(*spans))).drop("__rules")
+    return joined.withColumn("spans", F.array_sort(F.concat(*spans))).drop(kinds)
 
 
 def spans_text(spans: Column) -> Column:

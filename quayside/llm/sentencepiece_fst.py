@@ -1,8 +1,10 @@
 """SentencePiece encoding and decoding by a weighted finite-state transducer.
 
-A model compiles to three machines: the normaliser (dummy prefix, space to U+2581), a trie transducer of the pieces whose
-final states emit a piece with its weight, and byte fallback arcs for characters that no piece holds. An input is composed
-with them as it is read, and the shortest path in the tropical semiring (min, +) is its encoding.
+A model compiles to three machines: the normaliser (a transducer of the model's character map that takes the longest
+match, blank removal, dummy prefix, space to U+2581), a trie transducer of the pieces whose final states emit a piece with
+its weight, and byte fallback arcs for characters that no piece holds. An input is composed with them as it is read, and
+the shortest path in the tropical semiring (min, +) is its encoding. User-defined pieces are not normalised; in BPE models
+they are forced (the text around them is encoded apart), in unigram models they weigh next to nothing.
 
 - Unigram models: a piece weighs its negative log probability.
 - BPE models: the weight sits on pairs of neighbouring pieces: 0 if merging their joined text gives this pair again,
@@ -23,8 +25,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructField
 
-from quayside.llm.common import text_bytes
+from quayside.llm.common import added_schema, text_bytes
 
 BLANK = "▁"
 #: Kinds of pieces in a model file.
@@ -41,11 +44,37 @@ def read_model(data: bytes) -> dict:
     m = sentencepiece_model_pb2.ModelProto()
     m.ParseFromString(data)
     spec = m.normalizer_spec
-    if spec.precompiled_charsmap or spec.remove_extra_whitespaces or not spec.escape_whitespaces:
-        raise ValueError("only identity normalisation with escaped blanks is compiled")
+    if not spec.escape_whitespaces or m.trainer_spec.treat_whitespace_as_suffix:
+        raise ValueError("only escaped blanks before words are compiled")
     if m.trainer_spec.model_type not in (UNIGRAM, BPE):
         raise ValueError("only unigram and BPE models are compiled")
-    return {"pieces": [(p.piece, p.score, p.type or NORMAL) for p in m.pieces], "kind": m.trainer_spec.model_type, "dummy_prefix": spec.add_dummy_prefix}
+    return {"pieces": [(p.piece, p.score, p.type or NORMAL) for p in m.pieces], "kind": m.trainer_spec.model_type, "dummy_prefix": spec.add_dummy_prefix, "trim": spec.remove_extra_whitespaces, "map": read_map(spec.precompiled_charsmap)}
+
+
+def read_map(blob: bytes) -> dict:
+    """The character map as a trie of bytes; "" holds what a key is replaced by.
+
+    The blob is a length, a double-array trie of 32-bit units (label in the low byte, offset above bit 10, bit 8 for a
+    leaf, bit 9 for offsets times 256) and the replacements, each ended by a zero byte.
+    """
+    trie: dict = {}
+    if not blob:
+        return trie
+    size = int(np.frombuffer(blob, "<u4", 1)[0])
+    units, texts = np.frombuffer(blob, "<u4", size // 4, 4).tolist(), blob[4 + size :]
+    offset = lambda u: (u >> 10) << (8 if u & 512 else 0)
+    open_ = [(offset(units[0]), trie)]
+    while open_:
+        at, node = open_.pop()
+        for label in range(1, 256):
+            if at ^ label < len(units) and (u := units[at ^ label]) & 0x800000FF == label:
+                below = node[label] = {}
+                to = (at ^ label) ^ offset(u)
+                if u & 256:
+                    start = units[to] & 0x7FFFFFFF
+                    below[""] = texts[start : texts.index(b"\0", start)]
+                open_.append((to, below))
+    return trie
 
 
 class Transducer:
@@ -53,13 +82,16 @@ class Transducer:
 
     def __init__(self, data: bytes, kept_chunks: int = 600_000):
         model = read_model(data)
-        self.kind, self.dummy, self.kept = model["kind"], model["dummy_prefix"], kept_chunks
+        self.kind, self.dummy, self.trim, self.map, self.kept = model["kind"], model["dummy_prefix"], model["trim"], model["map"], kept_chunks
         self.text: list[bytes] = []
         self.ids: dict[str, int] = {}
         self.score: list[float] = []
         self.bytes: dict[int, int] = {}
         self.unknown = 0
         trie: dict = {}
+        forced: dict[str, int] = {}
+        kept_raw: list[str] = []
+        top = max([0.0, *(x for _, x, k in model["pieces"] if k == NORMAL)])  # not below 0, as the library has it
         for i, (piece, score, kind) in enumerate(model["pieces"]):
             self.score.append(score)
             self.text.append(piece.replace(BLANK, " ").encode() if kind in (NORMAL, USER_DEFINED, UNUSED) else b"")
@@ -69,12 +101,22 @@ class Transducer:
             elif kind == UNKNOWN:
                 self.unknown, self.text[i] = i, " ⁇ ".encode()
             elif kind in (NORMAL, USER_DEFINED):
+                if kind == USER_DEFINED:
+                    kept_raw.append(piece)
+                    if self.kind == BPE:
+                        forced[piece] = i
+                        continue
+                    self.score[i] = len(piece.encode()) * top - 0.1
                 self.ids[piece] = i
                 at = trie
                 for ch in piece:
                     at = at.setdefault(ch, {})
                 at[""] = i
         self.trie = trie
+        self.forced = forced
+        longest = lambda ps: re.compile(f"({'|'.join(re.escape(p) for p in sorted(ps, key=lambda p: (-len(p), p)))})").split if ps else None
+        self.around = longest(forced)
+        self.kept_raw = longest(kept_raw)  # user-defined pieces are not normalised
         self.least = min(self.score, default=0.0) - 10.0  # an unknown character's weight, as the library has it
         long = [p for p in self.ids if len(p) > 1]
         joined = {ch for p in long for ch in p}
@@ -94,7 +136,29 @@ class Transducer:
         self.pairs: dict[int, bool] = {}
         self.known: dict[str, bytes] = {}
 
+    def _mapped(self, text: str) -> str:
+        """Longest matches of the character map, left to right."""
+        out, data, i = [], text.encode("utf-8", "replace"), 0
+        while i < len(data):
+            node, j, end, to = self.map, i, i, b""
+            while j < len(data) and (node := node.get(data[j])) is not None:
+                j += 1
+                if "" in node:
+                    end, to = j, node[""]
+            if end == i:  # a character as it is
+                lead = data[i]
+                end = i + (1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4)
+                to = data[i:end]
+            out.append(to)
+            i = end
+        return b"".join(out).decode("utf-8", "replace")
+
     def normalise(self, text: str) -> str:
+        if self.map:
+            parts = self.kept_raw(text) if self.kept_raw else [text]
+            text = "".join(x if k % 2 else self._mapped(x) for k, x in enumerate(parts))
+        if self.trim:
+            text = _runs_of_blanks(" ", text.strip(" "))
         out = text.replace(" ", BLANK)
         return BLANK + out if self.dummy and out else out
 
@@ -185,19 +249,28 @@ class Transducer:
             x = self.pairs[key] = self.merge(text) == [text]
         return x
 
+    def _chunks(self, text: str) -> list[str]:
+        if self.around is None:
+            return self.split(text)
+        return [c for k, x in enumerate(self.around(text)) for c in ([x] if k % 2 else self.split(x))]
+
     def encode_bytes(self, text: str) -> bytes:
         """Piece ids as little-endian 32-bit integers."""
         known = self.known
         if len(known) > self.kept:
             known.clear()
         out = []
-        for chunk in self.split(self.normalise(text)):
+        for chunk in self._chunks(self.normalise(text)):
             if (x := known.get(chunk)) is None:
-                x = np.array(self._shortest(chunk), "<i4").tobytes()
+                x = np.array([self.forced[chunk]] if chunk in self.forced else self._shortest(chunk), "<i4").tobytes()
                 if len(chunk) <= 48:
                     known[chunk] = x
             out.append(x)
-        return b"".join(out)
+        if self.bytes:
+            return b"".join(out)
+        ids = np.frombuffer(b"".join(out), "<i4")  # without byte fallback a run of unknown characters is one piece
+        unknown = ids == self.unknown
+        return ids[~(unknown & np.append(False, unknown)[: len(ids)])].tobytes()
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_bytes(text), "<i4").tolist()
@@ -211,6 +284,7 @@ class Transducer:
         return self.decode_bytes(ids).decode("utf-8", "replace")
 
 
+_runs_of_blanks = re.compile(" +").sub
 _compiled: dict[bytes, Transducer] = {}
 
 
@@ -261,5 +335,24 @@ def encode_pieces(docs: DataFrame, model_path: str | None = None, with_ids: bool
                     columns.append(pa.array(ids, pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(columns, names=[*names, *added[: len(columns) - len(names)]])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{schema}, n_pieces long, ids_sha256 string, round_trip boolean" + ", piece_ids array<int>" * with_ids)
+    kinds = [LongType(), StringType(), BooleanType(), ArrayType(IntegerType())]
+    return docs.mapInArrow(run, added_schema(docs, *[StructField(c, k) for c, k in zip(added[: 3 + with_ids], kinds)]))
+
+
+def decode_pieces(docs: DataFrame, model_path: str | None = None) -> DataFrame:
+    """Adds ``text``, decoded from ``piece_ids`` (an array of int); null without ids, bytes that are no text as U+FFFD.
+
+    An id that the model lacks raises. A column named text is replaced.
+    """
+    docs = docs.drop("text")
+    with open(model_path or default_model_path(), "rb") as f:
+        model = docs.sparkSession.sparkContext.broadcast(f.read())
+    names = docs.columns
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fst = compiled(model.value)
+        for b in rows:
+            texts = [None if ids is None else fst.decode(ids) for ids in b.column("piece_ids").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*names, "text"])
+
+    return docs.mapInArrow(run, added_schema(docs, StructField("text", StringType())))

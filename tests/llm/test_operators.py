@@ -43,6 +43,9 @@ def test_toxicity_learns_stems(spark):
     got = {r.doc_id: r for r in toxicity.score_toxicity(d.withColumn("score", F.lit("clash")), model).collect()}
     held = [got[i].predicted == (i % 4 == 0) for i in range(300, 400)]
     assert sum(held) >= 97 and got[1000].score == got[1001].score and got[1000].predicted == 0
+    marked = d.withColumn("text", F.regexp_replace("text", "(\\S+)", "-\"$1\"!"))
+    assert all(r.score == got[r.doc_id].score for r in toxicity.score_toxicity(marked, model).collect())
+    assert toxicity.score_toxicity(docs(spark, [(1, "x" * 300 + " groblung" * 9)]), model).first().predicted == 1
     empty = toxicity.fit_toxicity(d.limit(0), y.limit(0))
     assert toxicity.score_toxicity(d, empty).filter("score <> 0.5").isEmpty()
 
@@ -133,7 +136,29 @@ def test_exact_dedup(spark):
     assert exact_dedup.exact_dedup(docs(spark, [])).isEmpty()
     directory, index = exact_dedup.build_index(docs(spark, rows), capacity=2, bits=6)
     assert directory.depth > 1 and len(directory.slots) == 2**directory.depth
-    assert [r.indexed for r in exact_dedup.look_up(index, docs(spark, [(1, "copy"), (2, "new")])).orderBy("doc_id").collect()] == [True, False]
+    assert [r.indexed for r in exact_dedup.look_up(directory, index, docs(spark, [(1, "copy"), (2, "new"), (3, None)])).orderBy("doc_id").collect()] == [True, False, True]
+
+
+def test_colliding_keys_are_chained(spark):
+    rows = [(k, "abcdefgh"[: k % 5] + "xyz"[k % 3]) for k in range(40)]
+    few = lambda text: F.shiftleft(F.length(text).cast("long"), 60)  # noqa: E731  six keys
+    got = {r.doc_id: r for r in exact_dedup.exact_dedup(docs(spark, rows), capacity=1, bits=4, key_of=few).collect()}
+    for d, t in rows:
+        same = [x for x, y in rows if y == t]
+        assert (got[d].group_size, got[d].keep_id, got[d].kept) == (len(same), max(same), d == max(same))
+    directory, index = exact_dedup.build_index(docs(spark, rows), capacity=1, bits=4, key_of=few)
+    assert index.agg(F.max("link")).first()[0] > 0
+    found = exact_dedup.look_up(directory, index, docs(spark, [(1, "abx"), (2, "aax"), (3, "abz")]), key_of=few).orderBy("doc_id").collect()
+    assert [r.indexed for r in found] == [any(t == x for _, t in rows) for x in ("abx", "aax", "abz")] and found[1].indexed is False
+    # another directory looks in other buckets: nothing is found past it
+    wrong = exact_dedup.Directory(directory.depth, directory.slots[::-1], directory.local_depth, directory.owner[::-1])
+    assert not any(r.indexed for r in exact_dedup.look_up(wrong, index, docs(spark, [(1, "abx")]), key_of=few).collect())
+
+
+def test_owners_take_key_ranges_of_whole_buckets():
+    d = exact_dedup.Directory.build({k: 3 for k in range(64)}, 6, 4)
+    assert list(d.owner) == sorted(d.owner) and max(d.owner) > 1
+    assert all(len({o for s, o in zip(d.slots, d.owner) if s == b}) == 1 for b in set(d.slots))
 
 
 def test_directory_splits_only_overfull_buckets():
@@ -148,16 +173,31 @@ def test_line_dedup(spark):
     for k in range(10, 16):
         assert got[k, 3].n_dropped == 1 and got[k, 3].text == f"own {k}\nend"
     assert got[16, 3].n_dropped == 0 and got[1, 1].text == "" and got[3, 2].n_dropped == 0
-    store = line_dedup.LevelledRuns(spark, fanout=2)
-    for batch in ([(b"a", 1), (b"b", 1)], [(b"b", 2), (b"c", 2)], [(b"a", 3)]):
-        fresh = store.add(spark.createDataFrame(batch, "key binary, doc_id long"))
-        found = sorted(bytes(r.key) for r in fresh.collect())
-        store.compact()
-    assert found == [] and len(store.levels) == 2
-    assert {bytes(r.key): (r.n, r.top) for r in store.merged().collect()} == {b"a": (2, 3), b"b": (2, 2), b"c": (1, 2)}
     assert line_dedup.line_dedup(docs(spark, [])).isEmpty()
 
 
+def test_levelled_runs(spark):
+    store = line_dedup.LevelledRuns(spark)
+    added = ([(b"a", 9), (b"b", 9), (b"b", 8)], [(b"b", 7), (b"c", 6)], [(b"a", 5)], [(b"c", 4), (b"d", None)], [(b"d", None)])
+    for batch in added:
+        store.add(spark.createDataFrame(batch, "key binary, doc_id long"))
+    assert [bool(x) for x in store.levels] == [True, False, True]  # 5 batches
+    assert {bytes(r.key): (r.n, r.fresh, r.top) for r in store.all().collect()} == {b"a": (2, True, 9), b"b": (3, True, 9), b"c": (2, True, 6), b"d": (2, True, None)}
+    anti = [n for n in store.all()._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hash" in n and "key" in n]
+    assert len(anti) <= 1  # runs are bucketed: none is dealt again but what a join has made
+    store.close()
+
+
+def test_line_dedup_takes_the_top_from_the_anti_join(spark, monkeypatch):
+    line = "this line is long enough to count as repeated text"
+    d = docs(spark, [(k, line) for k in range(20)] + [(None, line)] * 3)
+    kept = lambda: [r.doc_id for r in line_dedup.line_dedup(d).filter("n_dropped = 0").collect()]
+    assert kept() == [19]
+    real = line_dedup.LevelledRuns.merged
+    monkeypatch.setattr(line_dedup.LevelledRuns, "merged", staticmethod(lambda x, y: real(x.withColumn("fresh", F.lit(False)), y.withColumn("fresh", F.lit(False)))))
+    assert kept() != [19]  # without what the anti-join found no document keeps the line
+
+
 def test_sentencepiece_matches_the_library(spark):
     import sentencepiece
 
@@ -175,6 +215,71 @@ def test_sentencepiece_matches_the_library(spark):
     assert got[1, None].n_pieces == 0 and got[2, ""].round_trip and got[4, "same"].piece_ids == library.encode("same")
 
 
+def test_pieces_decode(spark, tmp_path):
+    rows = EDGE + [(9, "two  blanks\n"), (10, "")]
+    d = sentencepiece_fst.encode_pieces(docs(spark, rows)).select("doc_id", "piece_ids", F.lit(1).alias("text"))
+    got = sorted(((r.doc_id, r.text) for r in sentencepiece_fst.decode_pieces(d).collect()), key=str)
+    assert got == sorted(((k, t or "") for k, t in rows), key=str)
+    none = spark.createDataFrame([(1, None)], "doc_id long, piece_ids array<int>")
+    assert sentencepiece_fst.decode_pieces(none).first().text is None and sentencepiece_fst.decode_pieces(none.limit(0)).isEmpty()
+
+
+def unigram(normalizer=None, forced=(), trim=True, seed=3):
+    """A unigram model of random pieces with other scores, made here."""
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    rnd, m = random.Random(seed), pb.ModelProto()
+    if normalizer:
+        m.normalizer_spec.CopyFrom(normalizer)
+    else:
+        m.normalizer_spec.name = "identity"
+    m.normalizer_spec.remove_extra_whitespaces, m.normalizer_spec.escape_whitespaces, m.normalizer_spec.add_dummy_prefix = trim, True, True
+    m.trainer_spec.model_type = 1
+    pieces = {c for c in "abcdefghio▁1½"} | {"".join(rnd.choice("abcdefghio▁") for _ in range(rnd.randrange(2, 5))) for _ in range(150)}
+    m.pieces.add(piece="<unk>", score=0, type=2)
+    for p in forced:
+        m.pieces.add(piece=p, score=0, type=4)
+    for p in sorted(pieces - set(forced)):
+        m.pieces.add(piece=p, score=-rnd.uniform(2, 12), type=1)
+    return m.SerializeToString()
+
+
+@pytest.mark.parametrize("kind", ["plain", "mapped", "forced"])
+def test_unigram_models_match_the_library(kind):
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    spec = None
+    if kind != "plain":
+        spec = pb.ModelProto()
+        spec.ParseFromString(sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc_cf").serialized_model_proto())
+        spec = spec.normalizer_spec
+    data = unigram(spec, ("gab", "ab▁c", "gabe") if kind == "forced" else (), trim=kind != "plain")
+    library, fst = sentencepiece.SentencePieceProcessor(model_proto=data), sentencepiece_fst.Transducer(data)
+    rnd = random.Random(11)
+    parts = list("abcdefghio") + ["  ", " ", "ＡＢ", "½", "①", "é", "ﬁ", "\u200b", "\t", "İ", "gabe", "gab", "zz", "ab c", "한"]
+    for _ in range(400):
+        text = "".join(rnd.choice(parts) for _ in range(rnd.randrange(25)))
+        assert fst.encode(text) == library.encode(text), text
+
+
+def test_forced_pieces_of_bpe_models_match_the_library():
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    m = pb.ModelProto()
+    with open(sentencepiece_fst.default_model_path(), "rb") as f:
+        m.ParseFromString(f.read())
+    m.pieces.add(piece="<turn>", score=0, type=4)
+    m.pieces.add(piece="ing▁th", score=0, type=4)
+    data = m.SerializeToString()
+    library, fst = sentencepiece.SentencePieceProcessor(model_proto=data), sentencepiece_fst.Transducer(data)
+    rnd = random.Random(12)
+    for _ in range(200):
+        text = "".join(rnd.choice(["<turn>", "king the ", "ing", " th", "<", "turn>", "a ", "é"]) for _ in range(rnd.randrange(20)))
+        assert fst.encode(text) == library.encode(text) and fst.decode(fst.encode(text)) == library.decode(library.encode(text)), text
+
+
 def test_unigram_takes_the_shortest_path(tmp_path):
     from sentencepiece import sentencepiece_model_pb2 as pb
 
@@ -208,7 +313,6 @@ def test_decontamination(spark):
     got = sorted((r.doc_id, r["items"]) for r in decontaminate.decontaminate(docs(spark, rows).withColumn("items", F.lit(1)), bench).collect())
     assert got == [(1, [1]), (2, []), (3, []), (4, [2]), (5, []), (5, [])]
     assert decontaminate.decontaminate(docs(spark, rows), bench.limit(0)).filter("contaminated").isEmpty()
-    assert decontaminate.exact_stride(5, 0.5) == 2
 
 
 def test_decontamination_matches_brute_force(spark):
@@ -234,6 +338,15 @@ def test_decontamination_matches_brute_force(spark):
         assert got[doc] == sorted(want)
 
 
+def test_decontamination_of_a_large_benchmark_shuffles_windows_alone(spark):
+    rnd = random.Random(6)
+    items = [(k, words(2000 + k, rnd.randrange(2, 30))) for k in range(30)]
+    rows = [(k, " ".join([words(k, 30), items[rnd.randrange(30)][1], words(k + 500, 20)])) for k in range(40)] + [(40, None), (3, "x")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    one, other = (sorted((r.doc_id, r["items"], r.share) for r in decontaminate.decontaminate(docs(spark, rows), bench, max_broadcast=m).collect()) for m in (500_000, 0))
+    assert one == other and sum(bool(x) for _, x, _ in one) == 40
+
+
 def test_decontamination_at_every_position(spark):
     bench = spark.createDataFrame([(1, "a b c d e f"), (2, "g h i j k l m")], "item_id long, text string")
     rows = [(1, "a b c d e z z z"), (2, "x a b c d e z z"), (3, "z b c d e f"), (4, "z z b c d e f"), (5, "x g h i j k z h i j k l z"), (6, "g h i j k z z"), (7, "x a b c d z")]
@@ -259,6 +372,14 @@ def test_url_filter(spark):
     assert got[3][2:] == (None, "block") and got[4] == ("", "", None, "allow") == got[5] and got[6][3] == "block" and got[7][3] == "allow"
 
 
+def test_url_filter_takes_a_list(spark):
+    pages = spark.createDataFrame([(i, f"https://h{i % 50}.net/x") for i in range(200)] + [(999, None)], "page_id long, url string").withColumn("__shard", F.lit(1)).withColumn("listed", F.lit(2))
+    hosts = spark.createDataFrame([("H3.net",), ("h7.net",), (None,), ("elsewhere.org",), ("h7.net",)], "host string")
+    got = url_filter.filter_urls(pages, [("allow", "h7.net/x")], hosts, shard_keys=10).collect()
+    assert {r.page_id % 50 for r in got if r.verdict == "block"} == {3} and all((r["__shard"], r.listed) == (1, 2) for r in got)
+    assert url_filter.filter_urls(pages.limit(0), [], hosts.limit(0)).isEmpty()
+
+
 def test_cascade_is_exact_and_round_trips():
     keys = [f"host{i}".encode() for i in range(3000)]
     listed = [k for k in keys if zlib.crc32(k) % 7 == 0]
@@ -281,6 +402,17 @@ def test_chats(spark):
     assert chat_format.format_chats(conv.limit(0), spark.createDataFrame(Q.TOOLS, chat_format.TOOL_SCHEMA)).isEmpty()
 
 
+def test_chat_arguments_are_never_lost(spark):
+    raw = ['{"query":"x","query":"y"}', '"no object"', '{"query":"x","limit":1.0}', '{"query":"x","limit":1.5}']
+    rows = [(1, k, "assistant", f'{{"tool_calls":[{{"id":"i{k}","name":"search","arguments":{a}}}]}}') for k, a in enumerate(raw)] + [(1, 9, "assistant", '{"tool_calls":[{"id":"n","name":"search"}]}')]
+    conv = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r.turn: r for r in chat_format.format_chats(conv, spark.createDataFrame(Q.TOOLS, chat_format.TOOL_SCHEMA)).collect()}
+    assert got[0].problems == ["i0 arguments do not parse"] and r'{\"query\":\"x\",\"query\":\"y\"}' in got[0].json
+    assert got[1].problems and "no object" in got[1].json
+    assert got[2].problems == [] and '"limit":1,' in got[2].json
+    assert got[3].problems == ["i3 type:limit"] and got[9].problems == ["n arguments are no object"]
+
+
 def test_long_chains_and_cycles(spark):
     import json
 
@@ -304,6 +436,85 @@ def test_long_chains_and_cycles(spark):
         assert t <= top or (r.order_turn, r.order_depth) == (t, 0)
 
 
+def test_chat_query_links_the_whole_table(spark):
+    sf = "/root/testdata/sf0.001"
+    turns = {(r.conv_id, r.turn): r for r in spark.read.parquet(f"{sf}/conversations.parquet").collect()}
+    got = {(r.conv_id, r.turn): r for r in Q.op3_chat_formatting(spark, sf).collect()}
+    assert set(got) == set(turns)
+    for (conv, turn), r in got.items():
+        before, own = turns.get((conv, turn - 1)), turns[conv, turn]
+        answers = own.role == "assistant" and before is not None and before.role == "user"
+        assert (r.kind == "calls") == (own.role == "user") and r.linked == answers and (r.order_turn, r.order_depth)[0] >= turn or r.order_turn == turn
+        assert r.n_problems == 0
+    assert sum(r.linked for r in got.values()) > 20
+
+
+#: Names that operators might use themselves, and a struct with odd field names.
+CLASHES = "__id __ID __hash __len __key __sha __row __drop __shard __rules __was_listed key n row batch fresh top listed rules owner bucket".split()
+
+
+def odd(df):
+    df = df.withColumns({c: F.lit(i) for i, c in enumerate(CLASHES) if c != "__ID"})
+    return df.withColumn("odd", F.struct(F.lit(1).alias("a-b"), F.lit("x").alias("c d")))
+
+
+def run_operator(spark, name, d, bench):
+    if name == "toxicity":
+        y = d.select("doc_id", F.when(F.col("doc_id") % 2 == 0, 1).otherwise(0).alias("toxic"))
+        return toxicity.score_toxicity(d, toxicity.fit_toxicity(d, y)), True
+    if name == "jaccard":
+        return jaccard_join.jaccard_links(d), False
+    if name == "exact":
+        return exact_dedup.exact_dedup(d), True
+    if name == "pieces":
+        return sentencepiece_fst.encode_pieces(d), True
+    if name == "lm":
+        return maxent_lm.score_lm(d, F.col("doc_id") % 2 == 0), False
+    if name == "leaks":
+        return decontaminate.decontaminate(d, bench), True
+    if name == "lines":
+        return line_dedup.line_dedup(d), True
+    if name == "secrets":
+        return secret_scan.scan_secrets(d), True
+    if name == "urls":
+        return url_filter.filter_urls(d.withColumn("url", F.concat(F.lit("http://h"), F.col("doc_id").cast("string"), F.lit("/"), "text")), Q.URL_RULES, F.col("host") == "h1"), True
+    conv = d.select(F.col("doc_id").alias("conv_id"), F.lit(0).alias("turn"), F.lit("user").alias("role"), "text", "odd", "key", "n")
+    return chat_format.format_chats(conv, spark.createDataFrame(Q.TOOLS, chat_format.TOOL_SCHEMA)), False
+
+
+@pytest.mark.parametrize("name", ["toxicity", "jaccard", "exact", "pieces", "lm", "leaks", "lines", "secrets", "urls", "chats"])
+def test_edge_cases(spark, name):
+    huge = "lorem ipsum dolor " * 120_000  # 2 MB
+    rows = [*EDGE, (None, None), (None, None), (6, huge), (7, huge), (8, "\n" * 1000), (8, "\n" * 1000), (9, "z" * 200_000), (10, "\x00 \U0010ffff ﷐")]
+    bench = spark.createDataFrame([(1, "lorem ipsum dolor lorem ipsum dolor"), (None, None), (2, "")], "item_id long, text string")
+    d = odd(docs(spark, rows))
+    found, keeps = run_operator(spark, name, d, bench)
+    got = found.collect()
+    assert len(got) == len(rows)
+    if keeps:
+        assert all(r["__id"] == 0 and r["odd"]["a-b"] == 1 for r in got)
+        assert all(r[c] == CLASHES.index(c) for r in got for c in ("__key", "__drop", "__shard", "__rules", "key", "listed", "owner"))
+    assert run_operator(spark, name, d.limit(0), bench)[0].isEmpty()
+
+
+@pytest.mark.parametrize("at", range(5))
+def test_stages_take_odd_rows(spark, at):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    clean = words(4242, 60)
+    rows = [(None, None), (-1, None), (-2, ""), (-3, clean), (-3, clean), (-4, "a\n\nb " + "y" * 50_000)]
+    d = docs(spark, rows).select("doc_id", "text", F.lit(None).cast("string").alias("lang"), F.lit("s").alias("source"), F.length("text").cast("long").alias("n_chars"))
+    d = spark.read.parquet(f"{sf}/documents.parquet").select(*corpus_pipeline.COLUMNS).unionByName(d)
+    name, stage = corpus_pipeline.STAGES[at]
+    out = stage(spark, d, sf)
+    got = out.filter("doc_id < 0 or doc_id is null").collect()
+    want = 6 if name != "ngram_jaccard_join" else 5  # one of the repeated rows
+    assert len(got) == want and {r.doc_id for r in got} == {None, -1, -2, -3, -4}
+    assert stage(spark, d.limit(0), sf).isEmpty()
+    assert at == 4 or out.columns == corpus_pipeline.COLUMNS
+
+
 def test_pipeline_keeps_clean_documents(spark):
     import corpus_pipeline
 

@@ -87,7 +87,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 5, min_share
         return docs.select(*_row_key(doc), F.lit(None).cast("long").alias("item_id"), F.lit(0.0).alias("share")).limit(0)
     small = sum(r.tokens for r in sizes) <= max_broadcast
     kinds = [(n, n - 1, 2) if n == window > 2 else (n, n, 1) for n in sorted(r.n for r in sizes)]
+    # the values of slots are only looked up where some item has a slot
+    slotted = not items.filter(F.exists("itok", lambda t: F.substring(t, 1, 1) == NUM[0])).isEmpty()
     rows = docs.select(*_row_key(doc), text.alias("text"), _canonical(text, units).alias("tokens")).withColumn("hashes", _hashes("tokens"))
+    rows = rows.withColumn("raw", _raw(F.col("text")) if slotted else F.lit(None).cast("array<string>"))
     side = None
     for n, gram, _ in kinds:
         own = items.filter(F.col("n") == n).withColumn("hashes", _hashes("itok")).select("item", F.explode_outer(_windows(F.col("hashes"), gram, 1, n)).alias("w"))
@@ -97,26 +100,28 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 5, min_share
     windows = rows.select("*", F.explode_outer(_all_windows(F.col("hashes"), kinds)).alias("w"))
     diag = F.col("pos") - F.col("ipos")
     if small:
-        windows = windows.select(*doc, "text", "tokens", F.col("w.pos").alias("pos"), F.col("w.h").alias("h"))
+        windows = windows.select(*doc, "raw", "tokens", F.col("w.pos").alias("pos"), F.col("w.h").alias("h"))
         pairs = windows.join(held(side), "h").withColumn("diag", diag)
     else:
         met = windows.select(*doc, F.col("w.pos").alias("pos"), F.col("w.h").alias("h")).join(held(side), "h")
         met = met.select(*doc, "item", diag.alias("diag")).distinct()
-        pairs = met.join(rows.select(*doc, "text", "tokens").dropDuplicates(doc), doc)
-    pairs = pairs.join(held(items), "item")
+        pairs = met.join(rows.select(*doc, "raw", "tokens").dropDuplicates(doc), doc)
+    # of the document only what the item lies on, once an alignment: a long text that meets it everywhere is not copied each time
+    skip = F.greatest(-F.col("diag"), F.lit(0))
+    cut_out = lambda c: F.slice(c, F.greatest("diag", F.lit(0)) + 1, F.col("size") - skip)
+    pairs = pairs.join(held(items.select("item", F.size("itok").alias("size"))), "item").select(*doc, "item", "diag", cut_out("tokens").alias("tokens"), cut_out("raw").alias("raw"))
+    pairs = pairs.groupBy(*doc, "item", "diag").agg(F.first("tokens").alias("tokens"), F.first("raw").alias("raw"))  # all are equal
+    pairs = pairs.join(held(items), "item").withColumn("skip", skip)
     n = F.col("n")
     places = F.sequence(F.lit(0), F.size("itok") - 1)
-    equal = F.transform(places, lambda j: F.coalesce(F.get("tokens", F.col("diag") + j) == F.get("itok", j), F.lit(False)))
+    equal = F.transform(places, lambda j: F.coalesce((j >= F.col("skip")) & (F.get("tokens", j - F.col("skip")) == F.get("itok", j)), F.lit(False)))
     pairs = pairs.withColumn("equal", equal).filter("size(equal) > 0")  # a second use: the column stays one
     at = F.filter(F.slice(places, F.lit(1), F.size("itok") - n + 1), lambda i: F.forall(F.slice("equal", i + 1, n), lambda x: x))
-    # values of the slots, looked up where the item has any
-    raw = F.when(F.exists("itok", lambda t: F.substring(t, 1, 1) == NUM[0]), _raw(F.col("text")))
-    pairs = pairs.withColumn("at", at).withColumn("raw", raw)
+    pairs = pairs.withColumn("at", at)
     in_slot = lambda j: (F.substring(F.get("itok", j), 1, 1) == NUM[0]) & F.exists("at", lambda i: (i <= j) & (j < i + n))
-    slot = lambda j: F.struct(F.struct(F.get("itok", j).alias("kind"), F.get("iraw", j).alias("value")).alias("i"), F.get("raw", F.col("diag") + j).alias("d"))
+    slot = lambda j: F.struct(F.struct(F.get("itok", j).alias("kind"), F.get("iraw", j).alias("value")).alias("i"), F.get("raw", j - F.col("skip")).alias("d"))
     slots = F.array_distinct(F.transform(F.filter(places, in_slot), slot))
-    found = pairs.filter("size(at) > 0").select(*doc, "item_id", "item", (F.size("itok") - n + 1).alias("of"), "diag", "at", slots.alias("slots"))
-    aligned = found.groupBy(*doc, "item_id", "item", "of", "diag").agg(F.first("at").alias("at"), F.first("slots").alias("slots"))  # all are equal
+    aligned = pairs.filter("size(at) > 0").select(*doc, "item_id", "item", (F.size("itok") - n + 1).alias("of"), "diag", "at", slots.alias("slots"))
     keys = F.size(F.array_distinct(F.transform("slots", lambda s: s["i"])))
     per_item = aligned.filter(keys == F.size("slots")).groupBy(*doc, "item_id", "item", "of").agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("n"))
     shares = per_item.select(*doc, "item_id", (F.col("n") / F.col("of")).alias("share")).filter(F.col("share") >= min_share)

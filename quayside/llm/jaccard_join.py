@@ -473,7 +473,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75) -> Da
     sets = ordered_sets(docs, words, percent)
     nodes = set_classes(sets)
     roots = similar_components(nodes, percent)
-    out = cut(_by_document(sets, roots).select("doc_id", "key", "n_shingles", "component_id", F.col("root").alias("sig")), "shingle-components")
+    out = cut(_all(_by_document(sets, roots)).select("doc_id", "key", "n_shingles", "component_id", F.col("root").alias("sig")), "shingle-components")
     for old in (sets, nodes, roots):
         drop_cut(old)
     return out
@@ -493,15 +493,16 @@ def jaccard_links(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFra
     roots = similar_components(nodes, percent)
     counts = nodes.select(F.col("node").alias("sig"), "copies").join(class_links(nodes, roots, percent), "sig", "left")
     counts = counts.select("sig", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    rows = _by_document(sets, roots).join(counts, "sig", "left")
+    alone, linked = _by_document(sets, roots)  # those without a partner don't all meet under one null
+    rows = alone.withColumn("n_links", F.lit(0).cast("long")).unionByName(linked.join(counts, "sig", "left"))
     out = cut(rows.select("doc_id", "n_shingles", "component_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "shingle-links")
     for old in (sets, nodes, roots):
         drop_cut(old)
     return out
 
 
-def _by_document(sets: DataFrame, roots: DataFrame) -> DataFrame:
-    """One row a document: doc_id, key, n_shingles, component_id, sig and root (null without a partner)."""
+def _by_document(sets: DataFrame, roots: DataFrame) -> list[DataFrame]:
+    """One row a document: doc_id, key, n_shingles, component_id, sig, root; first those that can have no partner (null sig and root), then the others."""
     members = sets.filter("shared is not null").groupBy("sig").agg(F.min("doc_id").alias("least"))
     rooted = members.join(roots, "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component"))
@@ -509,7 +510,7 @@ def _by_document(sets: DataFrame, roots: DataFrame) -> DataFrame:
     rows = sets.select("doc_id", "key", "n_shingles", F.when(F.col("shared").isNotNull(), F.col("sig")).alias("sig"))
     alone = rows.filter("sig is null").select("doc_id", "key", "n_shingles", F.col("doc_id").alias("component_id"), "sig", F.col("sig").alias("root"))
     linked = rows.filter("sig is not null").join(by_sig, "sig")
-    return alone.unionByName(linked.select("doc_id", "key", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), "sig", "root"))
+    return [alone, linked.select("doc_id", "key", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), "sig", "root")]
 
 
 def drop_near_copies(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:

@@ -3,12 +3,13 @@
 The most frequent words form classes of equal size; all others fall in rare classes by a hash of their ending. A token's
 probability is P(class | context) times P(word | class, context) for frequent words, or times a smoothed unigram within
 the rare class. Both softmaxes add weights of hashed features: bias, previous word, previous two words, and skips to the
-second and third word back. In a context a rare word stands for its class.
+second and third word back. Features of one context word tell all words apart; in pairs a rare word stands for its class.
 
 Counts cover all training tokens and stay distributed; the ``known_words`` most frequent go to the executors, the
 others are looked up by a join. Training is one pass of distributed gradient updates: each task makes AdaGrad steps
 over its documents from zero, and the tasks' weights are averaged row by row, weighted by the tokens that used the row.
-Scoring runs in sparse numpy batches. The weight tables have a fixed size, whatever the corpus.
+Scoring runs in sparse numpy batches. Classes, modelled words, rows of weights and trainers grow with the training
+tokens (``sizes_for``).
 """
 
 from __future__ import annotations
@@ -27,14 +28,42 @@ from pyspark.sql import functions as F
 from quayside.llm.common import batches, cut, text_bytes
 
 END = b""
-WORD_CLASSES, CLASS_WORDS, RARE_CLASSES = 16, 64, 16
-TOP = WORD_CLASSES * CLASS_WORDS
-CLASSES = WORD_CLASSES + RARE_CLASSES
-ROWS = 1 << 15
+CLASS_WORDS = 64
 BATCH = 8192
 BLOCK = 64  # rows of weights sent together
 RATE = 0.3
-START = TOP + RARE_CLASSES  # context before the first word
+FAR = 1 << 32  # identities of words beyond the known ones, and of the start, begin here
+
+
+@dataclass(frozen=True)
+class Sizes:
+    """Classes of frequent words, classes of rare words, rows of weights, tasks that train."""
+
+    word_classes: int
+    rare_classes: int
+    rows: int
+    trainers: int
+
+    @property
+    def top(self) -> int:
+        return self.word_classes * CLASS_WORDS
+
+    @property
+    def classes(self) -> int:
+        return self.word_classes + self.rare_classes
+
+    @property
+    def start(self) -> int:
+        """Context before the first word."""
+        return self.top + self.rare_classes
+
+
+def sizes_for(tokens: int) -> Sizes:
+    """Rows and trainers grow with the root of the tokens, so that what trainers send grows with the tokens; classes
+    and modelled words with the fifth root, as each token's cost is in proportion to them."""
+    g = 1 + tokens / (1 << 24)
+    classes = round(16 * g**0.2)
+    return Sizes(classes, classes, BLOCK * round(512 * g**0.5), round(8 * g**0.5))
 
 
 @dataclass(frozen=True)
@@ -44,13 +73,14 @@ class Vocabulary:
     rank: dict[bytes, int]
     log_count: np.ndarray
     symbol: np.ndarray
+    sizes: Sizes
     rare_total: np.ndarray
     tokens: int
     words: int
 
 
-def rare_class(word: bytes) -> int:
-    return zlib.crc32(word[-3:]) % RARE_CLASSES
+def rare_class(word: bytes, classes: int) -> int:
+    return zlib.crc32(word[-3:]) % classes
 
 
 def _tokens(text: bytes) -> list[bytes]:
@@ -86,54 +116,57 @@ def build_vocabulary(counts: DataFrame, known_words: int) -> Vocabulary:
         left, least = left - r.v, r.level
     top = sorted(((bytes(r.word), r.n) for r in counts.filter(level >= least).collect()), key=lambda x: (-x[1], x[0]))
     total = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
+    z = sizes_for(total.n or 0)
     ending: Column = F.substring("word", -3, 3)
-    cls = F.pmod(F.crc32(F.when(F.length("word") <= 3, F.col("word")).otherwise(ending)), F.lit(RARE_CLASSES)).cast("int")
-    sums = np.zeros(RARE_CLASSES)
+    cls = F.pmod(F.crc32(F.when(F.length("word") <= 3, F.col("word")).otherwise(ending)), F.lit(z.rare_classes)).cast("int")
+    sums = np.zeros(z.rare_classes)
     for r in counts.groupBy(cls.alias("c")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect():
         sums[r.c] += r.n + r.v
-    for word, n in top[:TOP]:
-        sums[rare_class(word)] -= n + 1
-    symbol = np.array([i if i < TOP else TOP + rare_class(w) for i, (w, _) in enumerate(top)], np.int64)
-    return Vocabulary({w: i for i, (w, _) in enumerate(top)}, np.log10(np.array([n for _, n in top], float) + 1), symbol, np.log10(sums + 1), total.n or 0, total.v)
+    for word, n in top[: z.top]:
+        sums[rare_class(word, z.rare_classes)] -= n + 1
+    symbol = np.array([i if i < z.top else z.top + rare_class(w, z.rare_classes) for i, (w, _) in enumerate(top)], np.int64)
+    return Vocabulary({w: i for i, (w, _) in enumerate(top)}, np.log10(np.array([n for _, n in top], float) + 1), symbol, z, np.log10(sums + 1), total.n or 0, total.v)
 
 
-def _mix(*parts: np.ndarray | int) -> np.ndarray:
+def _mix(rows: int, *parts: np.ndarray | int) -> np.ndarray:
     h = np.array([0x243F6A8885A308D3], np.uint64)  # arrays wrap around silently
     for p in parts:
         h = (h ^ np.asarray(p, np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
         h = h ^ (h >> np.uint64(31))
-    return (h % np.uint64(ROWS - 1)).astype(np.uint16) + np.uint16(1)
+    return (h % np.uint64(rows - 1)).astype(np.int64) + 1
 
 
 class Model:
     """Weights of classes and of words in a class; row 0 is the bias of the classes."""
 
-    def __init__(self, by_class: np.ndarray | None = None, by_word: np.ndarray | None = None):
-        self.by_class = np.zeros((ROWS, CLASSES), np.float32) if by_class is None else by_class
-        self.by_word = np.zeros((ROWS, CLASS_WORDS), np.float32) if by_word is None else by_word
+    def __init__(self, sizes: Sizes, by_class: np.ndarray | None = None, by_word: np.ndarray | None = None):
+        self.sizes = sizes
+        self.by_class = np.zeros((sizes.rows, sizes.classes), np.float32) if by_class is None else by_class
+        self.by_word = np.zeros((sizes.rows, CLASS_WORDS), np.float32) if by_word is None else by_word
 
     @staticmethod
-    def contexts(symbols: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Words one, two and three back; START before a document's first (``first``: each token's place in it)."""
+    def contexts(symbols: np.ndarray, first: np.ndarray, start: int) -> tuple[np.ndarray, ...]:
+        """Words one, two and three back; ``start`` before a document's first (``first``: each token's place in it)."""
         out = []
         for k in (1, 2, 3):
-            back = np.full(len(symbols), START, np.int64)
+            back = np.full(len(symbols), start, np.int64)
             back[k:] = symbols[:-k]
-            out.append(np.where(first >= k, back, START))
+            out.append(np.where(first >= k, back, start))
         return tuple(out)
 
-    #: Rows of features of one symbol, and of a class with one symbol, hashed once.
-    ONE = {k: _mix(k, np.arange(START + 1)) for k in (1, 3, 4)}
-    CLASS = _mix(5, np.arange(CLASSES))
-    CLASS_ONE = {k: _mix(k, np.arange(CLASSES)[:, None], np.arange(START + 1)[None, :]) for k in (6, 7)}
-
-    @classmethod
-    def class_rows(cls, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> list[np.ndarray]:
-        return [np.zeros(len(a), np.uint16), cls.ONE[1][a], _mix(2, a, b), cls.ONE[3][b], cls.ONE[4][c]]
-
-    @classmethod
-    def word_rows(cls, own: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
-        return [cls.CLASS[own], cls.CLASS_ONE[6][own, a], cls.CLASS_ONE[7][own, b]]
+    def batches(self, symbols: np.ndarray, words: np.ndarray, first: np.ndarray, size: int) -> Iterator[tuple]:
+        """Of each batch: its slice, classes and class rows; of its modelled words: places, word rows and place in the class."""
+        z, n = self.sizes, self.sizes.rows
+        coarse, fine = self.contexts(symbols, first, z.start), self.contexts(words, first, FAR - 1)
+        for at in range(0, len(symbols), size):
+            part = slice(at, at + size)
+            s = symbols[part]
+            (a, b, _), (x, y, w) = (tuple(c[part] for c in found) for found in (coarse, fine))
+            cls = np.where(s < z.top, s // CLASS_WORDS, s - z.top + z.word_classes)
+            rows = [np.zeros(len(s), np.int64), _mix(n, 1, x), _mix(n, 2, a, b), _mix(n, 3, y), _mix(n, 4, w)]
+            top = np.flatnonzero(s < z.top)
+            own = cls[top]
+            yield part, cls, rows, top, [_mix(n, 5, own), _mix(n, 6, own, x[top]), _mix(n, 7, own, y[top])], s[top] % CLASS_WORDS
 
     @staticmethod
     def scores(table: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
@@ -151,28 +184,24 @@ class Model:
         own = z[np.arange(len(z)), outcome].astype(float)
         return own - np.log(np.exp(z, out=z).sum(axis=1))
 
-    def log_probability(self, symbols: np.ndarray, first: np.ndarray) -> np.ndarray:
+    def log_probability(self, symbols: np.ndarray, words: np.ndarray, first: np.ndarray) -> np.ndarray:
         """log10 of P(class | context), times P(word | class, context) for frequent words, by token."""
         out = np.empty(len(symbols))
-        back = self.contexts(symbols, first)
-        for at in range(0, len(symbols), BATCH):
-            s = symbols[at : at + BATCH]
-            a, b, c = (x[at : at + BATCH] for x in back)
-            cls = np.where(s < TOP, s // CLASS_WORDS, s - TOP + WORD_CLASSES)
-            own = self.log_of(self.by_class, self.class_rows(a, b, c), cls)
-            top = np.flatnonzero(s < TOP)
-            own[top] += self.log_of(self.by_word, self.word_rows(cls[top], a[top], b[top]), s[top] % CLASS_WORDS)
-            out[at : at + BATCH] = own / np.log(10)
+        for part, cls, class_rows, top, word_rows, place in self.batches(symbols, words, first, BATCH // 4):
+            own = self.log_of(self.by_class, class_rows, cls)
+            if len(top):
+                own[top] += self.log_of(self.by_word, word_rows, place)
+            out[part] = own / np.log(10)
         return out
 
 
 class Trainer(Model):
     """AdaGrad steps over batches of tokens; counts the tokens that use each row."""
 
-    def __init__(self):
-        super().__init__()
-        self.squares = [np.full(ROWS, 1e-4, np.float32) for _ in range(2)]
-        self.used = [np.zeros(ROWS, np.float32) for _ in range(2)]
+    def __init__(self, sizes: Sizes):
+        super().__init__(sizes)
+        self.squares = [np.full(sizes.rows, 1e-4, np.float32) for _ in range(2)]
+        self.used = [np.zeros(sizes.rows, np.float32) for _ in range(2)]
 
     def _step(self, which: int, table: np.ndarray, rows: list[np.ndarray], wanted: np.ndarray) -> None:
         g = self.scores(table, rows)
@@ -181,8 +210,8 @@ class Trainer(Model):
         g[np.arange(len(wanted)), wanted] -= 1
         squares = self.squares[which]
         for r in rows:
-            order = np.argsort(r, kind="stable")
-            s = r[order]
+            s = np.sort(r * BATCH + np.arange(len(r)))  # faster than a stable argsort
+            order, s = s % BATCH, s // BATCH
             starts = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
             total = np.add.reduceat(g.take(order, axis=0), starts, axis=0) if len(starts) > 1 else g.sum(axis=0, keepdims=True)
             at = s[starts]
@@ -190,43 +219,42 @@ class Trainer(Model):
             table[at] -= RATE * total / np.sqrt(squares[at])[:, None]
             self.used[which][at] += np.diff(np.append(starts, len(s)))
 
-    def train(self, symbols: np.ndarray, first: np.ndarray) -> None:
-        back = self.contexts(symbols, first)
-        for at in range(0, len(symbols), BATCH):
-            s = symbols[at : at + BATCH]
-            a, b, c = (x[at : at + BATCH] for x in back)
-            cls = np.where(s < TOP, s // CLASS_WORDS, s - TOP + WORD_CLASSES)
-            self._step(0, self.by_class, self.class_rows(a, b, c), cls)
-            top = np.flatnonzero(s < TOP)
+    def train(self, symbols: np.ndarray, words: np.ndarray, first: np.ndarray) -> None:
+        for _, cls, class_rows, top, word_rows, place in self.batches(symbols, words, first, BATCH):
+            self._step(0, self.by_class, class_rows, cls)
             if len(top):
-                self._step(1, self.by_word, self.word_rows(cls[top], a[top], b[top]), s[top] % CLASS_WORDS)
+                self._step(1, self.by_word, word_rows, place)
 
 
 def _gathered(rows: Iterator[pa.RecordBatch], words: Vocabulary, least: int):
-    """Documents in groups of ``least`` tokens or more: batch columns, ranks, symbols, places, document bounds, far words."""
-    held, ranks, symbols, far, size = [], [], [], [], 0
+    """Documents in groups of ``least`` tokens or more: rows, ranks, symbols, identities, lengths, far words."""
+    held, ranks, symbols, ids, far, size = [], [], [], [], [], 0
+    top, rare = words.sizes.top, words.sizes.rare_classes
     get = words.rank.get
     for b in rows:
         for row in zip(*(b.column(c).to_pylist() if c != "text" else text_bytes(b.column(c)) for c in b.schema.names)):
             tokens = _tokens(row[b.schema.names.index("text")])
             r = np.fromiter((get(t, -1) for t in tokens), np.int64, len(tokens))
             s = words.symbol[r] if len(words.symbol) else np.zeros(len(r), np.int64)
+            identity = r.copy()
             missing = np.flatnonzero(r < 0)
             if len(missing):
                 unknown = [tokens[i] for i in missing.tolist()]
-                s[missing] = [TOP + rare_class(t) for t in unknown]
+                s[missing] = [top + rare_class(t, rare) for t in unknown]
+                identity[missing] = [FAR + zlib.crc32(t) for t in unknown]
                 far.append(Counter(unknown))
             else:
                 far.append(None)
             held.append(row)
             ranks.append(r)
             symbols.append(s)
+            ids.append(identity)
             size += len(r)
             if size >= least:
-                yield held, np.concatenate(ranks), np.concatenate(symbols), [len(x) for x in ranks], far
-                held, ranks, symbols, far, size = [], [], [], [], 0
+                yield held, np.concatenate(ranks), np.concatenate(symbols), np.concatenate(ids), [len(x) for x in ranks], far
+                held, ranks, symbols, ids, far, size = [], [], [], [], [], 0
     if held:
-        yield held, np.concatenate(ranks), np.concatenate(symbols), [len(x) for x in ranks], far
+        yield held, np.concatenate(ranks), np.concatenate(symbols), np.concatenate(ids), [len(x) for x in ranks], far
 
 
 def _places(lengths: list[int]) -> np.ndarray:
@@ -235,41 +263,43 @@ def _places(lengths: list[int]) -> np.ndarray:
 
 
 def train(docs: DataFrame, words) -> Model:
-    """One pass over the documents; the averaged tables (fixed size) come to the driver. ``words``: a broadcast."""
+    """One pass over the documents; the averaged tables (see ``sizes_for``) come to the driver. ``words``: a broadcast."""
+    z = words.value.sizes
+    n_rows = z.rows
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Trainer()
-        for _, _, symbols, lengths, _ in _gathered(rows, words.value, 16 * BATCH):
-            own.train(symbols, _places(lengths))
+        own = Trainer(z)
+        for _, _, symbols, ids, lengths, _ in _gathered(rows, words.value, 16 * BATCH):
+            own.train(symbols, ids, _places(lengths))
         pid = TaskContext.get().partitionId()
 
         def blocks():
             for which, table in enumerate((own.by_class, own.by_word)):
-                for k in range(0, ROWS, BLOCK):
+                for k in range(0, n_rows, BLOCK):
                     used = own.used[which][k : k + BLOCK]
                     at = np.flatnonzero(used)
                     if len(at):
-                        yield which * ROWS + k, pid, at.astype(np.uint8).tobytes(), used[at].tobytes(), table[k + at].astype(np.float16).tobytes()
+                        yield which * n_rows + k, pid, at.astype(np.uint8).tobytes(), used[at].tobytes(), table[k + at].astype(np.float16).tobytes()
 
         return batches(blocks(), pa.schema([("block", pa.int32()), ("task", pa.int32()), ("at", pa.binary()), ("used", pa.binary()), ("w", pa.binary())]), 256)
 
     def average(group: pa.Table) -> pa.Table:
         group = group.sort_by("task")
         block = group.column("block")[0].as_py()
-        width = CLASSES if block < ROWS else CLASS_WORDS
+        width = z.classes if block < n_rows else CLASS_WORDS
         total, n = np.zeros((BLOCK, width)), np.zeros(BLOCK)
         for at, used, w in zip(*(group.column(c).to_pylist() for c in ("at", "used", "w"))):
             i, u = np.frombuffer(at, np.uint8), np.frombuffer(used, np.float32).astype(float)
             total[i] += np.frombuffer(w, np.float16).reshape(-1, width).astype(float) * u[:, None]
             n[i] += u
-        mean = (total / np.maximum(n, 1)[:, None]).astype(np.float32)
+        mean = (total / np.maximum(n, 1)[:, None]).astype(np.float16)
         return pa.table({"block": pa.array([block], pa.int32()), "w": pa.array([mean.tobytes()], pa.binary())})
 
-    sent = docs.select("text").mapInArrow(run, "block int, task int, at binary, used binary, w binary")
-    model = Model()
+    sent = docs.select("text").coalesce(z.trainers).mapInArrow(run, "block int, task int, at binary, used binary, w binary")
+    model = Model(z, *(np.zeros((n_rows, w), np.float16) for w in (z.classes, CLASS_WORDS)))
     for r in sent.groupBy("block").applyInArrow(average, "block int, w binary").collect():
-        table, k = (model.by_class, r.block) if r.block < ROWS else (model.by_word, r.block - ROWS)
-        table[k : k + BLOCK] = np.frombuffer(bytes(r.w), np.float32).reshape(BLOCK, -1)
+        table, k = (model.by_class, r.block) if r.block < n_rows else (model.by_word, r.block - n_rows)
+        table[k : k + BLOCK] = np.frombuffer(bytes(r.w), np.float16).reshape(BLOCK, -1)
     return model
 
 
@@ -284,8 +314,8 @@ def score_lm(docs: DataFrame, training: Column, known_words: int = 200_000) -> D
     ``training`` is a boolean column over ``docs``; null counts as no. Tokens are what ASCII white space separates, with
     A-Z lower-cased, and an end. A null or empty text is one end token. ``base_score`` is the add-one unigram's log10
     probability, ``score`` the model's; both give unseen words a share (in the model one in each rare class).
-    Repeated rows are scored each; other columns are left out. Without training rows the counts are zero and
-    both scores are of a uniform start.
+    Repeated rows are scored each; other columns are left out. Without training rows the counts are zero:
+    ``base_score`` is 0, ``score`` that of a uniform start.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(training, F.lit(False)).alias("__train"))
@@ -295,16 +325,17 @@ def score_lm(docs: DataFrame, training: Column, known_words: int = 200_000) -> D
     model = spark.sparkContext.broadcast(train(rows.filter("__train"), words))
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, m, pid = words.value, model.value, TaskContext.get().partitionId()
+        v, sent, pid = words.value, model.value, TaskContext.get().partitionId()
+        m = Model(v.sizes, sent.by_class.astype(np.float32), sent.by_word.astype(np.float32))
 
         def scored():
             i = 0
-            for held, ranks, symbols, lengths, far in _gathered(found, v, 8 * BATCH):
-                logs = m.log_probability(symbols, _places(lengths))
+            for held, ranks, symbols, ids, lengths, far in _gathered(found, v, 8 * BATCH):
+                logs = m.log_probability(symbols, ids, _places(lengths))
                 near = ranks >= 0
                 own = np.where(near, v.log_count[ranks], 0.0) if len(v.log_count) else np.zeros(len(ranks))
-                rare = symbols >= TOP
-                logs[rare] += own[rare] - v.rare_total[symbols[rare] - TOP]
+                rare = symbols >= v.sizes.top
+                logs[rare] += own[rare] - v.rare_total[symbols[rare] - v.sizes.top]
                 starts = np.cumsum(lengths) - lengths
                 sums = [np.add.reduceat(x, starts) for x in (near.astype(np.int64), own, logs)]
                 for k, row in enumerate(held):

@@ -29,7 +29,8 @@ from quayside.llm.common import batches, cut, text_bytes
 
 END = b""
 CLASS_WORDS = 64
-BATCH = 8192
+BATCH_BITS = 13
+BATCH = 1 << BATCH_BITS
 BLOCK = 64  # rows of weights sent together
 RATE = 0.3
 FAR = 1 << 32  # identities of words beyond the known ones, and of the start, begin here
@@ -59,11 +60,10 @@ class Sizes:
 
 
 def sizes_for(tokens: int) -> Sizes:
-    """Rows and trainers grow with the root of the tokens, so that what trainers send grows with the tokens; classes
-    and modelled words with the fifth root, as each token's cost is in proportion to them."""
+    """Rows and trainers grow with the root of the tokens, so that what trainers send grows with the tokens; modelled
+    words and their classes with the tenth root, as each token's cost grows with the classes. Rare classes stay 16."""
     g = 1 + tokens / (1 << 24)
-    classes = round(16 * g**0.2)
-    return Sizes(classes, classes, BLOCK * round(512 * g**0.5), round(8 * g**0.5))
+    return Sizes(round(16 * g**0.1), 16, BLOCK * round(512 * g**0.5), round(8 * g**0.5))
 
 
 @dataclass(frozen=True)
@@ -133,7 +133,7 @@ def _mix(rows: int, *parts: np.ndarray | int) -> np.ndarray:
     for p in parts:
         h = (h ^ np.asarray(p, np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
         h = h ^ (h >> np.uint64(31))
-    return (h % np.uint64(rows - 1)).astype(np.int64) + 1
+    return (((h >> np.uint64(32)) * np.uint64(rows - 1)) >> np.uint64(32)).astype(np.int64) + 1
 
 
 class Model:
@@ -210,14 +210,17 @@ class Trainer(Model):
         g[np.arange(len(wanted)), wanted] -= 1
         squares = self.squares[which]
         for r in rows:
-            s = np.sort(r * BATCH + np.arange(len(r)))  # faster than a stable argsort
-            order, s = s % BATCH, s // BATCH
-            starts = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
-            total = np.add.reduceat(g.take(order, axis=0), starts, axis=0) if len(starts) > 1 else g.sum(axis=0, keepdims=True)
-            at = s[starts]
+            if r is rows[0] and which == 0:  # the bias
+                starts, at, total = np.zeros(1, np.int64), r[:1], g.sum(axis=0, keepdims=True)
+            else:
+                s = np.sort(r << BATCH_BITS | np.arange(len(r)))  # faster than a stable argsort
+                order, s = s & (BATCH - 1), s >> BATCH_BITS
+                starts = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
+                at, total = s[starts], np.add.reduceat(g.take(order, axis=0), starts, axis=0)
             squares[at] += np.einsum("ij,ij->i", total, total) / total.shape[1]
-            table[at] -= RATE * total / np.sqrt(squares[at])[:, None]
-            self.used[which][at] += np.diff(np.append(starts, len(s)))
+            total *= (RATE / np.sqrt(squares[at]))[:, None]
+            table[at] -= total
+            self.used[which][at] += np.diff(np.append(starts, len(r)))
 
     def train(self, symbols: np.ndarray, words: np.ndarray, first: np.ndarray) -> None:
         for _, cls, class_rows, top, word_rows, place in self.batches(symbols, words, first, BATCH):

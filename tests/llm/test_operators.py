@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -524,3 +525,17 @@ def test_pipeline_keeps_clean_documents(spark):
     ids = {r.doc_id for r in out.select("doc_id").collect()}
     assert ids <= {r.doc_id for r in d.select("doc_id").collect()} and len(ids) > 0.6 * d.count()
     assert out.filter("not round_trip").isEmpty() and [n for n, _ in corpus_pipeline.STAGES][0] == "toxicity"
+
+
+def test_lm_probabilities_sum_to_one():
+    z = maxent_lm.sizes_for(10**8)
+    rng = np.random.default_rng(3)
+    own = maxent_lm.Trainer(z)
+    symbols = rng.integers(0, z.start, 5000)
+    own.train(symbols, symbols, np.arange(5000) % 100)
+    last = np.arange(z.start)  # every outcome after the same two words; rare ones stand for their class
+    text = np.stack([np.full(len(last), 7), np.full(len(last), z.top + 1), last], axis=1).ravel()
+    logs = own.log_probability(text, text, np.tile(np.arange(3), len(last)))[2::3]
+    assert (10.0**logs).sum() == pytest.approx(1, abs=1e-4)
+    small, large = maxent_lm.sizes_for(10**6), maxent_lm.sizes_for(10**10)
+    assert large.top > z.top >= small.top and large.rows > z.rows > small.rows and large.trainers > small.trainers

@@ -6,6 +6,7 @@ import argparse
 import dataclasses
 import datetime as dt
 import json
+import os
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -86,7 +87,7 @@ def write_vintage(index: DataFrame, features: DataFrame, available_at: dt.dateti
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="quayside")
     sub = parser.add_subparsers(dest="command", required=True)
-    for name, args in {"verify-manifest": ["manifest"], "package-landing": ["source", "target", "export_id", "cutoff"], "ingest-api": ["base", "key", "endpoint", "start", "end", "target"]}.items():
+    for name, args in {"verify-manifest": ["manifest"], "package-landing": ["source", "target", "export_id", "cutoff"], "ingest-api": ["endpoint", "start", "end", "target"]}.items():
         p = sub.add_parser(name)
         for a in args:
             p.add_argument(a)
@@ -98,11 +99,12 @@ def main(argv: list[str] | None = None) -> None:
     a = parser.parse_args(argv)
     if a.command == "verify-manifest":
         print(len(manifest.verify_manifest(a.manifest)[1]), "files verified")
-    elif a.command == "ingest-api":
-        print(rest.ingest(rest.iter_items(rest.fetch_json(a.base, a.key), a.endpoint, {"from": a.start, "to": a.end}), a.target), "rows")
     else:
         spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
-        if a.command == "package-landing":
+        if a.command == "ingest-api":
+            items = rest.iter_items(rest.fetch_from(os.environ), a.endpoint, {"from": a.start, "to": a.end})
+            print(rest.ingest(spark, items, a.target, dt.datetime.fromisoformat(a.start), dt.datetime.fromisoformat(a.end)), "rows")
+        elif a.command == "package-landing":
             print(landing.package_landing(spark, a.source, a.target, a.export_id, a.cutoff))
         else:
             run_research(spark, a.export, Settings.load(a.settings), a.target, a.opening)

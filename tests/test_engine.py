@@ -175,10 +175,19 @@ def test_landing_round_trip(spark, tmp_path):
 
     item = {"observation_id": "1", "observed_at": "2026-08-01T12:00:00+05:00", "retailer_id": "r", "store_id": "s", "city_id": "c", "retailer_product_id": "p", "currency": "KZT", "price": "10.5", "is_available": True, "is_promotion": False}
     pages = {None: {"items": [item], "has_more": True, "next_cursor": "x"}, "x": {"items": [item | {"observation_id": "2"}, item], "has_more": False, "next_cursor": None}}
-    source = tmp_path / "in.ndjson.gz"
-    assert rest.ingest(rest.iter_items(lambda e, p: pages[p.get("cursor")], "observations", {}), source) == 2
-    with gzip.open(source, "rt") as f:
-        assert len(f.readlines()) == 2
+    source = tmp_path / "in"
+    window = [dt.datetime(2026, 8, d, tzinfo=dt.timezone.utc) for d in (1, 2)]
+    assert rest.ingest(spark, rest.iter_items(lambda e, p: pages[p.get("cursor")], "observations", {}), source, *window) == 2
+    lines = lambda: [x for f in source.glob("*.gz") for x in gzip.open(f, "rt")]
+    assert len(lines()) == 2
+    for rows, why in (([item, item | {"price": "11"}], "conflicting"), ([item | {"observed_at": "2026-08-02T00:00:00Z"}], "outside"), ([item | {"price": "0"}], "price")):
+        with pytest.raises(ValueError, match=why):
+            rest.ingest(spark, rows, source, *window, overwrite=True)
+        assert len(lines()) == 2 and [f.name for f in tmp_path.iterdir()] == ["in"]
+    with pytest.raises(FileExistsError):
+        rest.ingest(spark, [item], source, *window)
+    assert rest.ingest(spark, [], tmp_path / "none", *window) == 0
+    assert rest.ingest(spark, [item, item | {"observation_id": "2"}], source, *window, overwrite=True) == 2
     with pytest.raises(rest.ProtocolError):
         list(rest.iter_items(lambda e, p: {"items": [], "has_more": True, "next_cursor": "x"}, "o", {}))
     path = landing.package_landing(spark, str(source), str(tmp_path / "out"), "e", "2026-09-01T00:00:00Z")
@@ -218,17 +227,97 @@ def test_nowcast_ignores_late_vintages(spark):
     assert evaluate_nowcast(f, make(t), 50)["status"] == "insufficient_history"
 
 
+def test_nowcast_refuses_bad_rows(spark):
+    from quayside.operators.nowcast import evaluate_nowcast
+
+    x = lambda *rows: spark.createDataFrame(rows, "month date, available_at timestamp, index_change double, diffusion_signal double")
+    y = lambda *rows: spark.createDataFrame(rows, "month date, released_at timestamp, value double")
+    month, at = dt.date(2024, 1, 1), dt.datetime(2024, 1, 20)
+    good, known = (month, at, 1.0, 1.0), (month, at, 1.0)
+    for f, t, why in ((x(good, good), y(known), "repeat"), (x(good), y(known, known), "repeat"), (x((month, None, 1.0, 1.0)), y(known), "instant"), (x((month, at, math.nan, 1.0)), y(known), "finite"), (x(good), y((month, at, None)), "finite")):
+        with pytest.raises(ValueError, match=why):
+            evaluate_nowcast(f, t)
+
+
+def test_nowcast_equals_a_dense_ridge(spark):
+    import numpy as np
+
+    from quayside.operators.nowcast import forecasts
+    from quayside.sources.generators import monthly_rows
+
+    f, t = monthly_rows(24)
+    got = {r.month: r for r in forecasts(spark.createDataFrame(f, "month date, available_at timestamp, index_change double, diffusion_signal double"), spark.createDataFrame(t, "month date, released_at timestamp, value double")).collect()}
+    assert sorted(got) == [r[0] for r in f[12:]]
+    month, origin, x, d = f[20]
+    known = {}
+    for m, released, value in t:  # in order of release within a month
+        if m < month and released <= origin:
+            known[m] = value
+    rows = [r for r in f if r[0] in known]
+    z, y = np.array([r[2:] for r in rows]), np.array([known[r[0]] for r in rows])
+    mean, spread = z.mean(axis=0), z.std(axis=0)
+    a = np.column_stack([np.ones(len(z)), (z - mean) / spread])
+    for name, k in (("index_only", 2), ("index_and_diffusion", 3)):
+        beta = np.linalg.solve(a[:, :k].T @ a[:, :k] + np.diag([0.0, 1, 1][:k]), a[:, :k].T @ y)
+        assert got[month][name] == pytest.approx(np.append(1, (np.array([x, d]) - mean) / spread)[:k] @ beta)
+
+
+def test_glms_equal_a_dense_solver(spark):
+    import numpy as np
+    from pyspark.ml.linalg import Vectors
+
+    from quayside.operators import models as M
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 3))
+    y = (rng.random(300) < 1 / (1 + np.exp(-x @ [1.0, -0.5, 0.2]))).astype(float)
+    df = spark.createDataFrame([(float(b), Vectors.dense(a)) for a, b in zip(x, y)], ["changed", "features"])
+    a = np.column_stack([np.ones(300), x])
+    for fit, mean, bend in ((M.fit_logistic, lambda e: 1 / (1 + np.exp(-e)), lambda m: m * (1 - m)), (M.fit_poisson, np.exp, lambda m: m)):
+        beta = np.array([np.log(y.mean()), 0, 0, 0])
+        for _ in range(50):  # Newton steps
+            m = mean(a @ beta)
+            beta = beta - np.linalg.solve(a.T @ (bend(m)[:, None] * a) + np.diag([0.0, 1, 1, 1]), a.T @ (m - y) + [0, 1, 1, 1] * beta)
+        model = fit(df)
+        assert np.allclose([model.intercept, *model.coefficients], beta, atol=1e-4)
+        with pytest.raises(ValueError, match="rows"):
+            fit(df.limit(0))
+        with pytest.raises(ValueError, match="domain"):
+            fit(df.selectExpr("-1.0 AS changed", "features"))
+
+
+def test_boosted_trees_by_brute_force():
+    import numpy as np
+
+    from quayside.operators.models import BoostedTrees
+
+    rng = np.random.default_rng(3)
+    x = np.column_stack([rng.normal(size=900), rng.integers(0, 3, 900), np.ones(900)])
+    y = (rng.random(900) < np.where((x[:, 0] > 0.3) & (x[:, 1] == 1), 0.8, 0.1)).astype(float)
+    model = BoostedTrees(rounds=1).fit(x, y)
+    g, h = y - y.mean(), np.full(900, y.mean() * (1 - y.mean()))
+    worth = lambda r: g[r].sum() ** 2 / (h[r].sum() + 1)
+    best = max(((worth(r) + worth(~r) - worth(r | True), -j, -c) for j in range(3) for c in np.unique(np.quantile(x[:, j], np.arange(1, 16) / 16)) for r in [x[:, j] < c] if min(r.sum(), (~r).sum()) >= 100))
+    assert (model.inputs[0, 0], model.thresholds[0, 0]) == (-best[1], pytest.approx(-best[2]))
+    r = (x[:, -best[1]] < -best[2])
+    small = BoostedTrees(rounds=1, least_node=901).fit(x, y)  # no split at all
+    assert np.isinf(small.thresholds).all() and np.allclose(small.probability(x), y.mean()) and 0 < r.sum() < 900
+    deep = BoostedTrees().fit(x, y).probability(x)
+    assert deep[(x[:, 0] > 0.3) & (x[:, 1] == 1)].mean() > 0.6 and np.array_equal(BoostedTrees().fit(x, y).probability(x), deep)
+
+
 def test_research_run_finds_the_planted_effect(spark, tmp_path):
     import json
 
     from quayside.run import run_research
+    from quayside.sources.generators import START as FIRST
     from quayside.sources.generators import research_rows, write_export
 
     path = write_export(spark, str(tmp_path / "export"), "demo", *research_rows(100), "2026-01-01T00:00:00Z")
-    cfg = Settings(dt.date(2025, 1, 1), dt.date(2025, 4, 11), assume_store_success_confirms_state=True, max_state_age_days=400, min_train_days=70, test_days=30, min_train_events=10)
+    cfg = Settings(FIRST, FIRST + dt.timedelta(days=100), assume_store_success_confirms_state=True, max_state_age_days=400, min_train_days=70, test_days=30, min_train_events=10)
     out = run_research(spark, [path], cfg, str(tmp_path / "run"), variants=False)
     edge = {(e["source_retailer"], e["target_retailer"]): e["rate_difference"] for e in out["network"]}
-    assert edge["alpha", "beta"] > 0.1 and edge["alpha", "gamma"] < 0.05
+    assert edge["north", "south"] > 0.1 and edge["north", "east"] < 0.05
     record = json.loads((tmp_path / "run" / "run.json").read_text())
     assert record["status"] == "complete" and set(record["artefacts"]) == {"results.json", "report.md"}
     brier = {m["model"]: m["brier"] for m in out["metrics"]}

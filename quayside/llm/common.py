@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -82,6 +83,14 @@ def text_bytes(column: pa.ChunkedArray | pa.Array) -> Iterator[bytes]:
         yield x.as_py() or b""
 
 
+def give_back() -> None:
+    """Returns what a Python worker has freed to the system; workers live on and would hold it through later stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def batches(rows: Iterable[tuple], schema: pa.Schema, most: int = 4096) -> Iterator[pa.RecordBatch]:
     """Packs tuples into record batches."""
     held: list[tuple] = []

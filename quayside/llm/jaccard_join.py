@@ -33,11 +33,11 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quayside.llm.common import cut, drop_cut, fresh_names, text_bytes
+from quayside.llm.common import cut, drop_cut, fresh_names, give_back, text_bytes
 from quayside.llm.components import components
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
-CHUNK_SHINGLES = 2_000_000
+CHUNK_SHINGLES = 1_000_000
 PART_SHINGLES = 1_000_000
 #: 64-bit words of the images of sets in the suffix filter; each shared shingle sets a bit.
 IMAGE = 8
@@ -55,7 +55,7 @@ class WordHashes(dict):
     """64-bit hashes of words, kept up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -157,6 +157,8 @@ def _send(words: int, parts: int):
                     docs, size, seq = [], 0, seq + 1
         if docs:
             yield from flush(docs, seq)
+        known, docs = {}, []
+        give_back()
 
     return run
 
@@ -199,6 +201,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cells.append((chunk, blob))
     if cells:
         yield from answer(at, cells)
+    cells = []
+    give_back()
 
 
 def prefix_sizes(n: int, percent: int) -> tuple[int, int]:
@@ -250,7 +254,8 @@ def _order(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, own, answers = None, None, []
         for b in batches:
-            for chunk, kind, blob in zip(*(b.column(c).to_pylist() for c in ("chunk", "kind", "blob"))):
+            for chunk, kind, cell in zip(b.column("chunk").to_pylist(), b.column("kind").to_pylist(), b.column("blob")):
+                blob = cell.as_buffer()
                 if chunk != at:
                     if at is not None:
                         yield from finish(at, own, answers)
@@ -261,6 +266,8 @@ def _order(percent: int):
                     answers.append(_unpack(blob))
         if at is not None:
             yield from finish(at, own, answers)
+        own, answers = None, []
+        give_back()
 
     return run
 

@@ -306,6 +306,48 @@ def test_boosted_trees_by_brute_force():
     assert deep[(x[:, 0] > 0.3) & (x[:, 1] == 1)].mean() > 0.6 and np.array_equal(BoostedTrees().fit(x, y).probability(x), deep)
 
 
+def test_medians_are_exact(spark):
+    import numpy as np
+
+    from quayside.operators.models import medians
+
+    rng = np.random.default_rng(5)
+    far = 10.0 ** rng.integers(-300, 300, 101) * rng.choice([-1, 1], 101)
+    columns = [rng.normal(size=101), rng.integers(-2, 2, 101).astype(float), np.where(rng.random(101) < 0.8, np.inf, far), far, np.full(101, np.nan)]
+    for n in (101, 100, 2, 1):
+        df = spark.createDataFrame([tuple(float(c[k]) for c in columns) for k in range(n)], "a double, b double, c double, d double, e double").repartition(3)
+        want = [float(np.median(c[:n][np.isfinite(c[:n])])) if np.isfinite(c[:n]).any() else None for c in columns]
+        assert [medians(df, [x], bins=8)[x] for x in "abcde"] == [w if w is None else pytest.approx(w, rel=1e-15, abs=0) for w in want]
+
+
+def test_boosted_sample_stays_off_the_driver(spark, monkeypatch):
+    import random
+
+    import numpy as np
+
+    from quayside.operators import models as M
+
+    rnd, rows = random.Random(6), []
+    for k in range(1200):
+        signal = rnd.random()
+        rows.append((START.date(), f"r{k % 2}", "s", f"p{k}", "c", "k", k % 7, int(rnd.random() < signal), *[rnd.random() for _ in M.BASE], *[signal] * len(M.DIFFUSION)))
+    kinds = "date date, retailer_id string, store_id string, retailer_product_id string, city_id string, category_id string, day_of_week int, changed int"
+    df = spark.createDataFrame(rows, ", ".join([kinds, *(f"{c} double" for c in M.BASE + M.DIFFUSION)])).cache()
+    keys = ["date", "retailer_id", "store_id", "retailer_product_id"]
+    encoder = M.TreeEncoder.fit(df, True)
+    sample = df.orderBy(M.F.xxhash64(*keys, M.F.lit(3))).limit(700).select("changed", *encoder.columns()).toPandas()
+    want = M.BoostedTrees().fit(sample.drop(columns="changed").to_numpy(float), sample["changed"].to_numpy(float))
+    seen = []
+    monkeypatch.setattr(type(df), "toPandas", lambda self: pytest.fail("the sample reached the driver"))
+    monkeypatch.setattr(type(df), "collect", lambda self, f=type(df).collect: (seen.append(rows := f(self)), rows)[1])
+    found, model = M.fit_boosted(df, True, 3, max_rows=700)
+    assert found == encoder and all(np.array_equal(getattr(model, x), getattr(want, x)) for x in ("start", "inputs", "thresholds", "leaves"))
+    assert len(seen[-1]) == 1  # the trees
+    scored = M.score_boosted(df, found, model).select("probability", *encoder.columns()).toLocalIterator()
+    r = next(scored)
+    assert r[0] == pytest.approx(model.probability(np.array([r[1:]]))[0])
+
+
 def test_research_run_finds_the_planted_effect(spark, tmp_path):
     import json
 

@@ -348,6 +348,43 @@ def test_boosted_sample_stays_off_the_driver(spark, monkeypatch):
     assert r[0] == pytest.approx(model.probability(np.array([r[1:]]))[0])
 
 
+def test_walk_forward_fits_all_models_in_few_jobs(spark):
+    import random
+
+    import numpy as np
+
+    from quayside.operators import models as M
+
+    rnd, rows = random.Random(7), []
+    for day in range(20):
+        for k in range(30):
+            signal = rnd.random()
+            changed = int(rnd.random() < signal)
+            rows.append((START.date() + dt.timedelta(days=day), f"r{k % 2}", "s", f"p{k}", "c", f"k{k % 3}", day % 7, changed, changed * rnd.gauss(0.1, 0.05), *[rnd.random() for _ in M.BASE], *[signal + rnd.random() for _ in M.DIFFUSION]))
+    kinds = "date date, retailer_id string, store_id string, retailer_product_id string, city_id string, category_id string, day_of_week int, changed int, magnitude double"
+    df = spark.createDataFrame(rows, ", ".join([kinds, *(f"{c} double" for c in M.BASE + M.DIFFUSION)])).cache()
+    cfg = settings(20, min_train_days=10, test_days=10, min_train_events=30)
+    jobs = lambda: spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs()
+    began = jobs()
+    got = M.walk_forward(df, cfg, False).toPandas()
+    assert jobs() - began < 60
+    cut = START.date() + dt.timedelta(days=10)
+    for name, diffusion, logistic in (("hazard_baseline", False, True), ("hazard_diffusion", True, True), ("marked_intensity", True, False)):
+        encoder = M.Encoder.fit(df.filter(M.F.col("date") < M.F.lit(cut)), diffusion)
+        every = df.select("date", "retailer_product_id", "changed", "magnitude", encoder.array().alias("x")).toPandas()
+        a = np.column_stack([np.ones(len(every)), np.stack(every.x)])
+        train, y, r = (every.date < cut).to_numpy(), every.changed.to_numpy(float), every.magnitude.to_numpy()
+        beta, ridge = np.zeros(a.shape[1]), np.append(0.0, np.ones(a.shape[1] - 1))
+        for _ in range(60):  # Newton steps
+            m = 1 / (1 + np.exp(-a[train] @ beta)) if logistic else np.exp(a[train] @ beta)
+            beta -= np.linalg.solve(a[train].T @ ((m * (1 - m) if logistic else m)[:, None] * a[train]) + np.diag(ridge), a[train].T @ (m - y[train]) + ridge * beta)
+        hit = train & (y == 1)
+        mark = np.linalg.solve(a[hit].T @ a[hit] + np.diag(ridge), a[hit].T @ r[hit])
+        p = 1 / (1 + np.exp(-a @ beta)) if logistic else 1 - np.exp(-np.exp(a @ beta))
+        own = every.assign(p=p, e=p * (a @ mark))[~train].merge(got[got.model == name], on=["date", "retailer_product_id"])
+        assert len(own) == 300 and np.allclose(own.p, own.probability, atol=1e-9) and np.allclose(own.e, own.expected_return, atol=1e-9)
+
+
 def test_research_run_finds_the_planted_effect(spark, tmp_path):
     import json
 

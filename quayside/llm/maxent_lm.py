@@ -6,7 +6,8 @@ the rare class. Both softmaxes add weights of hashed features: bias, previous wo
 second and third word back. Features of one context word tell all words apart; in pairs a rare word stands for its class.
 
 Counts cover all training tokens and stay distributed; the ``known_words`` most frequent go to the executors, the
-others are looked up by a join. Training is one pass of distributed gradient updates: each task makes AdaGrad steps
+others are looked up by a join. Arrow splits the texts and finds the distinct tokens of about ``TEXT_BYTES`` at a time, and
+only these are looked up in Python. Training is one pass of distributed gradient updates: each task makes AdaGrad steps
 over its documents from zero, and the tasks' weights are averaged row by row, weighted by the tokens that used the row.
 Scoring runs in sparse numpy batches. Classes, modelled words, rows of weights and trainers grow with the training
 tokens (``sizes_for``).
@@ -15,25 +16,29 @@ tokens (``sizes_for``).
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quayside.llm.common import batches, cut, text_bytes
+from quayside.llm.common import batches, cut, give_back
 
-END = b""
 CLASS_WORDS = 64
 BATCH_BITS = 13
 BATCH = 1 << BATCH_BITS
+CACHED = BATCH // 4  # tokens whose scores stay in a core's cache
 BLOCK = 64  # rows of weights sent together
 RATE = 0.3
 FAR = 1 << 32  # identities of words beyond the known ones, and of the start, begin here
+SPAN = 60  # weights of a token within +-SPAN need no shift: their exponentials and sums are normal float32
+PART = 12  # rows of a sum added side by side with those of other sums
+TEXT_BYTES = 1 << 20  # texts are split together up to this
 
 
 @dataclass(frozen=True)
@@ -83,25 +88,54 @@ def rare_class(word: bytes, classes: int) -> int:
     return zlib.crc32(word[-3:]) % classes
 
 
-def _tokens(text: bytes) -> list[bytes]:
-    return [*text.lower().split(), END]
+def split_texts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """The tokens of all texts as places among the distinct ones, each text's number of tokens, the distinct ones (binary).
+
+    Tokens are lower-cased words and an end, which is empty. One blank behind a trimmed text splits off that end.
+    """
+    text = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.binary()), b"").view(pa.string())))
+    found = pc.ascii_split_whitespace(pc.if_else(pc.equal(pc.binary_length(text), 0), text, pc.binary_join_element_wise(text, "", " ")))
+    coded = found.flatten().dictionary_encode()
+    return coded.indices.to_numpy(), np.diff(found.offsets.to_numpy()), coded.dictionary.cast(pa.binary())
+
+
+def _slices(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows in slices of about ``TEXT_BYTES`` of text, at least one row."""
+    for b in rows:
+        size = np.cumsum(pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(), dtype=np.int64)
+        at = 0
+        while at < b.num_rows:
+            before = size[at - 1] if at else 0
+            end = max(at + 1, int(np.searchsorted(size, before + TEXT_BYTES, "right")))
+            yield b.slice(at, end - at)
+            at = end
+
+
+def _summed(counts: list[pa.Table]) -> pa.Table:
+    found = pa.concat_tables(counts).group_by("word", use_threads=False).aggregate([("n", "sum")])
+    return found.select(["word", "n_sum"]).rename_columns(["word", "n"])
 
 
 def count_tokens(docs: DataFrame) -> DataFrame:
     """Written: word (binary; the end is empty) and n, over all documents."""
+    schema = pa.schema([("word", pa.binary()), ("n", pa.int64())])
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def counted():
-            found: Counter = Counter()
-            for b in rows:
-                for text in text_bytes(b.column("text")):
-                    found.update(_tokens(text))
-                    if len(found) > 400_000:
-                        yield from found.items()
-                        found.clear()
-            yield from found.items()
-
-        return batches(counted(), pa.schema([("word", pa.binary()), ("n", pa.int64())]), 20_000)
+        held, size = [], 0
+        for b in _slices(rows):
+            codes, _, words = split_texts(b.column("text"))
+            held.append(pa.table([words, np.bincount(codes, minlength=len(words))], schema=schema))
+            size += max(len(words), held[-1].nbytes // 32)  # long words count more
+            if size > 1_000_000:
+                held = [_summed(held)]
+                size = max(held[0].num_rows, held[0].nbytes // 32)
+                if size > 400_000:
+                    yield from held[0].to_batches(20_000)
+                    held, size = [], 0
+        if held:
+            yield from _summed(held).to_batches(20_000)
+        held.clear()
+        give_back()
 
     return cut(docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "lm-counts")
 
@@ -136,6 +170,40 @@ def _mix(rows: int, *parts: np.ndarray | int) -> np.ndarray:
     return (((h >> np.uint64(32)) * np.uint64(rows - 1)) >> np.uint64(32)).astype(np.int64) + 1
 
 
+def sums_by_row(values: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct rows in any order, the sums of their values and their numbers of values; at most ``BATCH`` rows.
+
+    Most rows occur a few times and ``reduceat`` takes as long for each of them as for a long one. So a row's values are
+    cut into parts of ``PART``, the k-th values of all parts are added at once, and ``reduceat`` adds what parts remain.
+    """
+    s = np.sort(rows << BATCH_BITS | np.arange(len(rows)))  # faster than a stable argsort
+    order, s = s & (BATCH - 1), s >> BATCH_BITS
+    starts = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
+    found, used = s[starts], np.diff(starts, append=len(s))
+    parts = -(-used // PART)
+    first = np.cumsum(parts) - parts
+    skipped = PART * (np.arange(first[-1] + parts[-1]) - np.repeat(first, parts))
+    size = np.minimum(np.repeat(used, parts) - skipped, PART)
+    by = np.argsort((-size).astype(np.int8), kind="stable")  # longest first
+    begin = (np.repeat(starts, parts) + skipped)[by]
+    longer = len(size) - np.cumsum(np.bincount(size, minlength=PART + 1))
+    total = values.take(order.take(begin), axis=0)
+    for k in range(1, PART):
+        if not longer[k]:
+            break
+        total[: longer[k]] += values.take(order.take(begin[: longer[k]] + k), axis=0)
+    if len(size) == len(starts):
+        return found[by], total, used[by]
+    place = np.empty_like(by)
+    place[by] = np.arange(len(by))
+    sums = total.take(place.take(first), axis=0)
+    many = np.flatnonzero(parts > 1)
+    n = parts[many]
+    at = np.cumsum(n) - n
+    sums[many] = np.add.reduceat(total.take(place.take(np.arange(n.sum()) + np.repeat(first[many] - at, n)), axis=0), at, axis=0)
+    return found, sums, used
+
+
 class Model:
     """Weights of classes and of words in a class; row 0 is the bias of the classes."""
 
@@ -170,11 +238,13 @@ class Model:
 
     @staticmethod
     def scores(table: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
-        """Sums of the features' weights by outcome, one row a token, the largest being 0."""
+        """Sums of the features' weights by outcome, one row a token; where some leave ``SPAN``, the largest of a row is 0."""
         z = table.take(rows[0], axis=0)
+        added = np.empty_like(z)
         for r in rows[1:]:
-            z += table.take(r, axis=0)
-        z -= z.max(axis=1, keepdims=True)
+            z += table.take(r, axis=0, out=added, mode="clip")  # rows are in range; without the mode it copies once more
+        if not (-SPAN < z.min() and z.max() < SPAN):
+            z -= z.max(axis=1, keepdims=True)
         return z
 
     @classmethod
@@ -182,12 +252,12 @@ class Model:
         """Log probability of each token's outcome."""
         z = cls.scores(table, rows)
         own = z[np.arange(len(z)), outcome].astype(float)
-        return own - np.log(np.exp(z, out=z).sum(axis=1))
+        return own - np.log(np.einsum("ij->i", np.exp(z, out=z)))
 
     def log_probability(self, symbols: np.ndarray, words: np.ndarray, first: np.ndarray) -> np.ndarray:
         """log10 of P(class | context), times P(word | class, context) for frequent words, by token."""
         out = np.empty(len(symbols))
-        for part, cls, class_rows, top, word_rows, place in self.batches(symbols, words, first, BATCH // 4):
+        for part, cls, class_rows, top, word_rows, place in self.batches(symbols, words, first, CACHED):
             own = self.log_of(self.by_class, class_rows, cls)
             if len(top):
                 own[top] += self.log_of(self.by_word, word_rows, place)
@@ -204,23 +274,23 @@ class Trainer(Model):
         self.used = [np.zeros(sizes.rows, np.float32) for _ in range(2)]
 
     def _step(self, which: int, table: np.ndarray, rows: list[np.ndarray], wanted: np.ndarray) -> None:
-        g = self.scores(table, rows)
-        np.exp(g, out=g)
-        g /= g.sum(axis=1, keepdims=True)
-        g[np.arange(len(wanted)), wanted] -= 1
+        g = np.empty((len(wanted), table.shape[1]), np.float32)
+        for k in range(0, len(g), CACHED):
+            z = self.scores(table, [r[k : k + CACHED] for r in rows])
+            np.exp(z, out=z)
+            np.multiply(z, np.reciprocal(np.einsum("ij->i", z))[:, None], out=g[k : k + CACHED])
+        g.reshape(-1)[np.arange(len(g)) * g.shape[1] + wanted] -= 1
         squares = self.squares[which]
         for r in rows:
             if r is rows[0] and which == 0:  # the bias
-                starts, at, total = np.zeros(1, np.int64), r[:1], g.sum(axis=0, keepdims=True)
+                at, total, used = r[:1], np.einsum("ij->j", g)[None], len(r)
             else:
-                s = np.sort(r << BATCH_BITS | np.arange(len(r)))  # faster than a stable argsort
-                order, s = s & (BATCH - 1), s >> BATCH_BITS
-                starts = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
-                at, total = s[starts], np.add.reduceat(g.take(order, axis=0), starts, axis=0)
-            squares[at] += np.einsum("ij,ij->i", total, total) / total.shape[1]
-            total *= (RATE / np.sqrt(squares[at]))[:, None]
-            table[at] -= total
-            self.used[which][at] += np.diff(np.append(starts, len(r)))
+                at, total, used = sums_by_row(g, r)
+            own = squares.take(at) + np.einsum("ij,ij->i", total, total) / total.shape[1]
+            squares[at] = own
+            total *= (RATE / np.sqrt(own))[:, None]
+            table[at] = table.take(at, axis=0) - total
+            self.used[which][at] += used
 
     def train(self, symbols: np.ndarray, words: np.ndarray, first: np.ndarray) -> None:
         for _, cls, class_rows, top, word_rows, place in self.batches(symbols, words, first, BATCH):
@@ -229,39 +299,56 @@ class Trainer(Model):
                 self._step(1, self.by_word, word_rows, place)
 
 
-def _gathered(rows: Iterator[pa.RecordBatch], words: Vocabulary, least: int):
-    """Documents in groups of ``least`` tokens or more: rows, ranks, symbols, identities, lengths, far words."""
-    held, ranks, symbols, ids, far, size = [], [], [], [], [], 0
-    top, rare = words.sizes.top, words.sizes.rare_classes
-    get = words.rank.get
-    for b in rows:
-        for row in zip(*(b.column(c).to_pylist() if c != "text" else text_bytes(b.column(c)) for c in b.schema.names)):
-            tokens = _tokens(row[b.schema.names.index("text")])
-            r = np.fromiter((get(t, -1) for t in tokens), np.int64, len(tokens))
-            s = words.symbol[r] if len(words.symbol) else np.zeros(len(r), np.int64)
-            identity = r.copy()
-            missing = np.flatnonzero(r < 0)
-            if len(missing):
-                unknown = [tokens[i] for i in missing.tolist()]
-                s[missing] = [top + rare_class(t, rare) for t in unknown]
-                identity[missing] = [FAR + zlib.crc32(t) for t in unknown]
-                far.append(Counter(unknown))
-            else:
-                far.append(None)
-            held.append(row)
-            ranks.append(r)
-            symbols.append(s)
-            ids.append(identity)
-            size += len(r)
-            if size >= least:
-                yield held, np.concatenate(ranks), np.concatenate(symbols), np.concatenate(ids), [len(x) for x in ranks], far
-                held, ranks, symbols, ids, far, size = [], [], [], [], [], 0
+@dataclass(frozen=True)
+class Tokens:
+    """Tokens of some documents: ranks (-1 beyond the known words), symbols, identities, tokens by document."""
+
+    ranks: np.ndarray
+    symbols: np.ndarray
+    ids: np.ndarray
+    lengths: np.ndarray
+
+
+def _known(texts: pa.Array, words: Vocabulary) -> tuple[Tokens, np.ndarray, pa.Array]:
+    """The tokens, their places among the distinct ones, the distinct ones; each distinct one is looked up once."""
+    codes, lengths, distinct = split_texts(texts)
+    found, top, rare = distinct.to_numpy(zero_copy_only=False).tolist(), words.sizes.top, words.sizes.rare_classes
+    r = np.fromiter(map(words.rank.get, found, repeat(-1)), np.int64, len(found))
+    s = words.symbol[r] if len(words.symbol) else np.zeros(len(r), np.int64)
+    identity = r.copy()
+    missing = np.flatnonzero(r < 0)
+    unknown = [found[i] for i in missing.tolist()]
+    s[missing] = [top + rare_class(t, rare) for t in unknown]
+    identity[missing] = [FAR + zlib.crc32(t) for t in unknown]
+    return Tokens(r.take(codes), s.take(codes), identity.take(codes), lengths), codes, distinct
+
+
+def _gathered(rows: Iterator[pa.RecordBatch], words: Vocabulary, least: int) -> Iterator[Tokens]:
+    """Documents in groups of ``least`` tokens or more."""
+    held: list[Tokens] = []
+
+    def joined() -> Tokens:
+        return Tokens(*(np.concatenate([getattr(t, x) for t in held]) for x in ("ranks", "symbols", "ids", "lengths")))
+
+    for b in _slices(rows):
+        held.append(_known(b.column("text"), words)[0])
+        if sum(len(t.ids) for t in held) >= least:
+            yield joined()
+            held = []
     if held:
-        yield held, np.concatenate(ranks), np.concatenate(symbols), np.concatenate(ids), [len(x) for x in ranks], far
+        yield joined()
+
+
+def _far(codes: np.ndarray, ranks: np.ndarray, lengths: np.ndarray, distinct: pa.Array) -> pa.ListArray:
+    """Of each document, the words beyond the known ones with their counts."""
+    missing = np.flatnonzero(ranks < 0)
+    key, n = np.unique(np.repeat(np.arange(len(lengths)), lengths)[missing] * len(distinct) + codes[missing], return_counts=True)
+    offsets = np.searchsorted(key, np.arange(len(lengths) + 1) * len(distinct)).astype(np.int32)
+    words = pa.StructArray.from_arrays([distinct.take(pa.array(key % len(distinct))), pa.array(n, pa.int32())], names=["word", "n"])
+    return pa.ListArray.from_arrays(offsets, words)
 
 
-def _places(lengths: list[int]) -> np.ndarray:
-    n = np.array(lengths)
+def _places(n: np.ndarray) -> np.ndarray:
     return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
 
 
@@ -272,8 +359,8 @@ def train(docs: DataFrame, words) -> Model:
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Trainer(z)
-        for _, _, symbols, ids, lengths, _ in _gathered(rows, words.value, 16 * BATCH):
-            own.train(symbols, ids, _places(lengths))
+        for t in _gathered(rows, words.value, 16 * BATCH):
+            own.train(t.symbols, t.ids, _places(t.lengths))
         pid = TaskContext.get().partitionId()
 
         def blocks():
@@ -325,28 +412,26 @@ def score_lm(docs: DataFrame, training: Column, known_words: int = 200_000) -> D
     counts = count_tokens(rows.filter("__train"))
     vocabulary = build_vocabulary(counts, known_words)
     words = spark.sparkContext.broadcast(vocabulary)
-    model = spark.sparkContext.broadcast(train(rows.filter("__train"), words))
+    weights = spark.sparkContext.broadcast(train(rows.filter("__train"), words))
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, sent, pid = words.value, model.value, TaskContext.get().partitionId()
+        v, sent, pid = words.value, weights.value, TaskContext.get().partitionId()
         m = Model(v.sizes, sent.by_class.astype(np.float32), sent.by_word.astype(np.float32))
 
-        def scored():
-            i = 0
-            for held, ranks, symbols, ids, lengths, far in _gathered(found, v, 8 * BATCH):
-                logs = m.log_probability(symbols, ids, _places(lengths))
-                near = ranks >= 0
-                own = np.where(near, v.log_count[ranks], 0.0) if len(v.log_count) else np.zeros(len(ranks))
-                rare = symbols >= v.sizes.top
-                logs[rare] += own[rare] - v.rare_total[symbols[rare] - v.sizes.top]
-                starts = np.cumsum(lengths) - lengths
-                sums = [np.add.reduceat(x, starts) for x in (near.astype(np.int64), own, logs)]
-                for k, row in enumerate(held):
-                    words_far = [{"word": w, "n": n} for w, n in far[k].items()] if far[k] else []
-                    yield pid << 40 | i, row[0], lengths[k], int(sums[0][k]), float(sums[1][k]), float(sums[2][k]), words_far
-                    i += 1
-
-        return batches(scored(), SCORED, 1024)
+        i = 0
+        for b in _slices(found):
+            t, codes, distinct = _known(b.column("text"), v)
+            logs = m.log_probability(t.symbols, t.ids, _places(t.lengths))
+            near = t.ranks >= 0
+            own = np.where(near, v.log_count[t.ranks], 0.0) if len(v.log_count) else np.zeros(len(t.ranks))
+            rare = t.symbols >= v.sizes.top
+            logs[rare] += own[rare] - v.rare_total[t.symbols[rare] - v.sizes.top]
+            starts = np.cumsum(t.lengths) - t.lengths
+            known, base, model = (np.add.reduceat(x, starts) for x in (near.astype(np.int64), own, logs))
+            rid = (pid << 40) + i + np.arange(b.num_rows)
+            i += b.num_rows
+            columns = [rid, b.column("doc_id"), t.lengths.astype(np.int64), known, base, model, _far(codes, t.ranks, t.lengths, distinct)]
+            yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], schema=SCORED)
 
     near = cut(rows.select("doc_id", "text").mapInArrow(run, SCORED_DDL), "lm-scored")
     far = near.select("rid", F.explode("far").alias("f")).select("rid", F.col("f.word").alias("word"), F.col("f.n").alias("tf"))

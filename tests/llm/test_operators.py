@@ -3,10 +3,12 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -539,3 +541,81 @@ def test_lm_probabilities_sum_to_one():
     assert (10.0**logs).sum() == pytest.approx(1, abs=1e-4)
     small, large = maxent_lm.sizes_for(10**6), maxent_lm.sizes_for(10**10)
     assert large.top > z.top >= small.top and large.rows > z.rows > small.rows and large.trainers > small.trainers
+
+
+def plain_training(z, batches):
+    """The gradient steps of the model by their formula: softmax by row, rows summed by sorting and reduceat."""
+    tables = [np.zeros((z.rows, w), np.float32) for w in (z.classes, maxent_lm.CLASS_WORDS)]
+    squares, used = ([np.full(z.rows, x, np.float32) for _ in range(2)] for x in (1e-4, 0))
+    for _, cls, class_rows, top, word_rows, place in batches:
+        for which, rows, wanted in ((0, class_rows, cls), (1, word_rows, place)):
+            table = tables[which]
+            g = table.take(rows[0], axis=0)
+            for r in rows[1:]:
+                g += table.take(r, axis=0)
+            g -= g.max(axis=1, keepdims=True)
+            np.exp(g, out=g)
+            g /= g.sum(axis=1, keepdims=True)
+            g[np.arange(len(wanted)), wanted] -= 1
+            for r in rows:
+                if which == 0 and r is rows[0]:  # the bias
+                    at, total, n = r[:1], g.sum(axis=0, keepdims=True), len(r)
+                else:
+                    s = np.sort(r << 13 | np.arange(len(r)))
+                    order, s = s & 8191, s >> 13
+                    starts = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
+                    at, total, n = s[starts], np.add.reduceat(g.take(order, axis=0), starts, axis=0), np.diff(starts, append=len(s))
+                squares[which][at] += np.einsum("ij,ij->i", total, total) / total.shape[1]
+                table[at] -= total * (maxent_lm.RATE / np.sqrt(squares[which][at]))[:, None]
+                used[which][at] += n
+    return tables, used
+
+
+def test_lm_training_is_the_formula_in_less_time():
+    z = maxent_lm.sizes_for(10**8)
+    rng = np.random.default_rng(5)
+    n = 4 * maxent_lm.BATCH + 77
+    symbols = np.minimum(rng.pareto(0.35, n) * 3, z.start - 1).astype(np.int64)
+    first = np.arange(n) % 300
+    took, plain_took = [], []
+    for _ in range(3):
+        own = maxent_lm.Trainer(z)
+        at = time.process_time()
+        own.train(symbols, symbols, first)
+        took.append(time.process_time() - at)
+        at = time.process_time()
+        tables, used = plain_training(z, own.batches(symbols, symbols, first, maxent_lm.BATCH))
+        plain_took.append(time.process_time() - at)
+    for a, b in ((own.by_class, tables[0]), (own.by_word, tables[1])):
+        assert np.allclose(a, b, atol=2e-3) and np.abs(b).max() > 0.5
+    assert all(np.array_equal(a, b) for a, b in zip(own.used, used))
+    assert min(took) < 0.8 * min(plain_took)
+
+
+@pytest.mark.parametrize("of", [1, 2, 20, 3000, 10**6])
+def test_lm_sums_by_row(of):
+    rng = np.random.default_rng(of)
+    for n in (1, maxent_lm.PART, maxent_lm.PART + 1, 1000, maxent_lm.BATCH):
+        rows, values = rng.integers(0, of, n), rng.integers(-9, 9, (n, 5)).astype(np.float32)
+        found, sums, used = maxent_lm.sums_by_row(values, rows)
+        want = np.zeros((of, 5), np.float32)
+        np.add.at(want, rows, values)
+        assert sorted(found) == sorted(set(rows.tolist())) and np.array_equal(sums, want[found]) and np.array_equal(used, np.bincount(rows)[found])
+
+
+def test_lm_tokens_are_those_of_the_plain_split():
+    rng = np.random.default_rng(6)
+    signs = [*map(chr, range(33)), *"abcABCzZ.", "\x7f", "\x85", "\xa0", "é", "İ", "K", "Ä", " ", "　"]
+    texts = [None, "", " ", "\t\n", " a", "a ", " A  b ", *("".join(rng.choice(signs, rng.integers(0, 30))) for _ in range(3000))]
+    for found in (pa.array(texts), pa.array(texts, pa.large_string()), pa.array(texts).slice(5, 100), pa.array([b"\xff\xfe A\xc3 \xe2\x28 B", b"\x80"])):
+        codes, lengths, distinct = maxent_lm.split_texts(found)
+        want = [[*(t or b"").lower().split(), b""] for t in found.cast(pa.binary()).to_pylist()]
+        assert [len(t) for t in want] == lengths.tolist() and distinct.take(pa.array(codes)).to_pylist() == [w for t in want for w in t]
+
+
+def test_lm_far_weights_stay_finite():
+    z = maxent_lm.sizes_for(0)
+    own = maxent_lm.Model(z)
+    own.by_class[0] = np.where(np.arange(z.classes) % 2, 900, -900)
+    logs = own.log_probability(np.arange(z.start), np.arange(z.start), np.arange(z.start))
+    assert np.isfinite(logs).all() and (logs <= 1e-6).all()

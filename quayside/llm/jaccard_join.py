@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quayside.llm.common import cut, drop_cut, fresh_names, give_back, text_bytes
+from quayside.llm.common import bucketed_cut, cut, drop_cut, fresh_names, give_back, shuffles_released, text_bytes
 from quayside.llm.components import components
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -280,8 +280,11 @@ def ordered_sets(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFram
     parts = n * max(1, math.ceil(chars / 6 / PART_SHINGLES / n))
     cells = rows.mapInArrow(_send(words, parts), CELL_DDL)
     counted = cells.repartitionById(n, F.col("part") % n).sortWithinPartitions("part").mapInArrow(_count, CELL_DDL)
+    counted = cut(counted, "shingle-counts")  # the cells, the largest shuffle, need not outlast this
     back = counted.repartition(n, "chunk").sortWithinPartitions("chunk", "kind").select("chunk", "kind", "blob")
-    return cut(back.mapInArrow(_order(percent), NODE_DDL), "shingle-sets")
+    out = cut(back.mapInArrow(_order(percent), NODE_DDL), "shingle-sets")
+    drop_cut(counted)
+    return out
 
 
 def text_key() -> Column:
@@ -308,14 +311,14 @@ def _verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
 
 def set_classes(sets: DataFrame) -> DataFrame:
-    """Written, one row a class of equal sets that takes part: node, n, unshared, copies (its rows), shared, image."""
+    """Written, one row a class of equal sets that takes part: node, n, unshared, copies (its rows), shared, image; bucketed by node, so that no join moves the sets."""
     groups = sets.filter("shared is not null").groupBy(F.col("sig").alias("node"))
     one = lambda c: F.first(c).alias(c)  # noqa: E731  equal in the class
-    return cut(groups.agg(F.first("n_shingles").alias("n"), one("unshared"), F.count(F.lit(1)).alias("copies"), one("shared"), one("image")), "shingle-nodes")
+    return bucketed_cut(groups.agg(F.first("n_shingles").alias("n"), one("unshared"), F.count(F.lit(1)).alias("copies"), one("shared"), one("image")), "shingle-nodes", "node")
 
 
 def _prefixes(nodes: DataFrame, percent: int) -> DataFrame:
-    """Written: token, node, n, unshared, image, pos, indexed, for the prefix tokens on which some pair can meet."""
+    """Written, bucketed by token: token, node, n, unshared, image, pos, indexed, for the prefix tokens on which some pair can meet."""
     n = F.col("n")
     probe = n - F.ceil(percent * n / 100) + 1
     index = n - F.ceil(2 * percent * n / (100 + percent)) + 1
@@ -325,7 +328,7 @@ def _prefixes(nodes: DataFrame, percent: int) -> DataFrame:
     pos = F.col("unshared") + F.col("k")
     rows = rows.select("token", "node", "n", "unshared", "image", pos.alias("pos"), (pos < F.col("index")).alias("indexed"))
     block = rows.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.max("indexed").alias("any"))
-    return cut(rows.join(block.filter("size > 1 and any").select("token"), "token"), "shingle-prefixes")
+    return bucketed_cut(rows.join(block.filter("size > 1 and any").select("token"), "token"), "shingle-prefixes", "token")
 
 
 def similar_components(nodes: DataFrame, percent: int = 75, leader_rounds: int = 3) -> DataFrame:
@@ -356,10 +359,10 @@ def similar_components(nodes: DataFrame, percent: int = 75, leader_rounds: int =
         links.append(cut(_verified(tried[-1], nodes, percent), "shingle-links"))
         labels = written_components(_all(links), labels)
         done.append(rows)
-        # blocks that still hold several components
-        rooted = prefix.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        open_ = rooted.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("token")
-        rows = cut(rooted.join(open_, "token"), "shingle-open")
+        # blocks that still hold several components; images move for these alone
+        rooted = lambda df: df.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))  # noqa: B023, E731  used at once
+        open_ = rooted(prefix.select("token", "node")).groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("token")
+        rows = cut(rooted(prefix.join(open_, "token")), "shingle-open")
         if k:
             drop_cut(done[-1])
     x, y = rows.filter("indexed").select("token", F.struct(*fields).alias("x")), rows.select("token", F.struct(*fields).alias("y"))
@@ -477,12 +480,13 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75) -> Da
 
     ``key`` is of the text, ``sig`` of the set's component (null for a document that can have no partner).
     """
-    sets = ordered_sets(docs, words, percent)
-    nodes = set_classes(sets)
-    roots = similar_components(nodes, percent)
-    out = cut(_all(_by_document(sets, roots)).select("doc_id", "key", "n_shingles", "component_id", F.col("root").alias("sig")), "shingle-components")
-    for old in (sets, nodes, roots):
-        drop_cut(old)
+    with shuffles_released(docs.sparkSession):
+        sets = ordered_sets(docs, words, percent)
+        nodes = set_classes(sets)
+        roots = similar_components(nodes, percent)
+        out = cut(_all(_by_document(sets, roots)).select("doc_id", "key", "n_shingles", "component_id", F.col("root").alias("sig")), "shingle-components")
+        for old in (sets, nodes, roots):
+            drop_cut(old)
     return out
 
 
@@ -495,16 +499,17 @@ def jaccard_links(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFra
     null doc_id takes part but is never the smallest. Repeated rows are equal sets, one component. Other columns are
     left out. No rows give no rows.
     """
-    sets = ordered_sets(docs, words, percent)
-    nodes = set_classes(sets)
-    roots = similar_components(nodes, percent)
-    counts = nodes.select(F.col("node").alias("sig"), "copies").join(class_links(nodes, roots, percent), "sig", "left")
-    counts = counts.select("sig", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    alone, linked = _by_document(sets, roots)  # those without a partner don't all meet under one null
-    rows = alone.withColumn("n_links", F.lit(0).cast("long")).unionByName(linked.join(counts, "sig", "left"))
-    out = cut(rows.select("doc_id", "n_shingles", "component_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "shingle-links")
-    for old in (sets, nodes, roots):
-        drop_cut(old)
+    with shuffles_released(docs.sparkSession):
+        sets = ordered_sets(docs, words, percent)
+        nodes = set_classes(sets)
+        roots = similar_components(nodes, percent)
+        counts = nodes.select(F.col("node").alias("sig"), "copies").join(class_links(nodes, roots, percent), "sig", "left")
+        counts = counts.select("sig", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+        alone, linked = _by_document(sets, roots)  # those without a partner don't all meet under one null
+        rows = alone.withColumn("n_links", F.lit(0).cast("long")).unionByName(linked.join(counts, "sig", "left"))
+        out = cut(rows.select("doc_id", "n_shingles", "component_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "shingle-links")
+        for old in (sets, nodes, roots):
+            drop_cut(old)
     return out
 
 

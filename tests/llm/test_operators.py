@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, with nulls, empty texts, repeated rows, empty tables and clashing columns."""
 
 import hashlib
+import os
 import random
 import re
 import time
@@ -118,6 +119,39 @@ def test_jaccard_links_within_a_component(spark, monkeypatch):
     assert jaccard_join.jaccard_links(docs(spark, [])).isEmpty()
 
 
+def shuffle_files(spark):
+    folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    return {x for f in folders for _, _, names in os.walk(f.getPath()) for x in names if x.startswith("shuffle_") and x.endswith(".data")}
+
+
+@pytest.mark.parametrize("operator", ["jaccard_links", "jaccard_components"])
+def test_jaccard_leaves_no_shuffles(spark, operator):
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    rows = [(k, words(300 + k // 4, 60) + f" zz{k}") for k in range(40)]
+    before, was = shuffle_files(spark), spark.conf.get(key)
+    assert getattr(jaccard_join, operator)(docs(spark, rows)).count() == 40
+    for _ in range(50):  # files go shortly after an execution ends; a collection of the driver's garbage is not waited for
+        if len(left := shuffle_files(spark) - before) <= 4:  # of the count
+            break
+        time.sleep(0.1)
+    assert len(left) <= 4 and spark.conf.get(key) == was
+    spark.conf.set(key, "false")
+    with pytest.raises(Exception, match="text"):
+        getattr(jaccard_join, operator)(docs(spark, rows).drop("text"))
+    assert spark.conf.get(key) == "false"
+    spark.conf.unset(key)
+
+
+def test_jaccard_joins_do_not_move_the_sets(spark):
+    rows = [(k, words(300 + k // 4, 60) + f" zz{k}") for k in range(40)]
+    nodes = jaccard_join.set_classes(jaccard_join.ordered_sets(docs(spark, rows)))
+    prefix = jaccard_join._prefixes(nodes, 75)
+    for df, by in ((nodes, "node"), (prefix, "token")):
+        assert "Exchange" not in df.groupBy(by).agg(F.count(F.lit(1)))._jdf.queryExecution().executedPlan().toString()
+        jaccard_join.drop_cut(df)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("shingle")]
+
+
 def test_one_row_of_each_component_stays(spark):
     a, b = words(900, 60), words(901, 60)
     rows = [(3, a), (5, a), (5, b), (7, b), (7, b), (None, b), (None, a), (8, ""), (8, ""), (9, None), (None, words(902, 60)), (None, words(902, 60)), (11, words(903, 9)), (11, words(903, 9))]

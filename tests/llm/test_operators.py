@@ -409,6 +409,19 @@ def test_url_filter(spark):
     assert got[3][2:] == (None, "block") and got[4] == ("", "", None, "allow") == got[5] and got[6][3] == "block" and got[7][3] == "allow"
 
 
+def test_url_query_keeps_to_its_contract(spark, tmp_path):
+    rules = {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow", "example.net/de/8": "block", "org/es/": "block"}
+    urls = [f"http{k}://{host}/{rest}" for k, host in enumerate(["com", "net", "x.net", "EXAMPLE.net", "a.example.net", "notexample.net", "b.example.com", "y.org", "casino-win.example.net"]) for rest in ("en/", "en/71", "de/", "de/8#t", "de/9", "es/1?q", "DE/8", "")]
+    spark.createDataFrame(list(enumerate([*urls, None, "net/de/"])), "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r.page_id: (r.rule, r.verdict) for r in Q.op10_url_filter(spark, str(tmp_path)).collect()}
+    for k, url in enumerate(urls):
+        host, _, path = re.split("[?#]", url.split("://")[1])[0].partition("/")
+        fits = [r for r in rules if f".{host.lower()}".endswith("." + r.split("/")[0]) and path.startswith(r.split("/", 1)[1])]
+        rule = max(fits, key=len, default=None)
+        assert got[k] == (rule, rules[rule] if rule else "block" if host.startswith("casino") else "allow"), url
+    assert got[len(urls)] == (None, "allow") == got[len(urls) + 1] and {v for _, v in got.values()} == {"allow", "block"}
+
+
 def test_url_filter_takes_a_list(spark):
     pages = spark.createDataFrame([(i, f"https://h{i % 50}.net/x") for i in range(200)] + [(999, None)], "page_id long, url string").withColumn("__shard", F.lit(1)).withColumn("listed", F.lit(2))
     hosts = spark.createDataFrame([("H3.net",), ("h7.net",), (None,), ("elsewhere.org",), ("h7.net",)], "host string")

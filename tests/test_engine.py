@@ -435,6 +435,31 @@ def test_walk_forward_fits_all_models_in_few_jobs(spark):
         assert len(own) == 300 and np.allclose(own.p, own.probability, atol=1e-9) and np.allclose(own.e, own.expected_return, atol=1e-9)
 
 
+def test_walk_forward_trees_fit_all_rows(spark):
+    import numpy as np
+
+    from quayside.operators import models as M
+
+    F = M.F
+    days = F.when(F.col("id") < 200_500, F.col("id") % 10).otherwise(10)  # more training rows than one task fits
+    signal = F.rand(4)
+    df = spark.range(0, 201_000, 1, 5).select(
+        F.date_add(F.lit(START.date()), days.cast("int")).alias("date"), F.lit("r").alias("retailer_id"), F.lit("s").alias("store_id"), F.col("id").cast("string").alias("retailer_product_id"), F.lit("c").alias("city_id"),
+        F.concat(F.lit("k"), (F.col("id") % 3).cast("string")).alias("category_id"), (F.col("id") % 7).cast("int").alias("day_of_week"), (F.rand(5) < signal * F.when(F.col("id") % 2 == 0, 0.3).otherwise(0.9)).cast("int").alias("changed"), F.lit(0.1).alias("magnitude"),
+        *[(F.randn(10 + i) + (F.col("id") % 2 if i == 3 else 0)).alias(c) for i, c in enumerate(M.BASE)], *[(signal + F.rand(30 + i)).alias(c) for i, c in enumerate(M.DIFFUSION)],
+    ).cache()
+    cut = START.date() + dt.timedelta(days=10)
+    got = M.walk_forward(df, settings(11, min_train_days=10, test_days=1, min_train_events=30)).filter(F.col("model").startswith("boosted")).select("model", "retailer_product_id", "probability").toPandas()
+    train = df.filter(F.col("date") < F.lit(cut))
+    for name, diffusion in (("boosted_baseline", False), ("boosted_competitor", True)):
+        encoder = M.TreeEncoder.fit(train, diffusion)
+        every = df.select("date", "retailer_product_id", "changed", *encoder.columns()).toPandas()
+        x, y, old = every.drop(columns=["date", "retailer_product_id", "changed"]).to_numpy(np.float32), every["changed"].to_numpy(float), (every["date"] < cut).to_numpy()
+        assert old.sum() == 200_500
+        own = every.assign(p=M.BoostedTrees().fit(x[old], y[old]).probability(x))[~old].merge(got[got.model == name], on="retailer_product_id")
+        assert len(own) == 500 and np.allclose(own.p, own.probability, atol=1e-6) and own.p.std() > 0.02
+
+
 def test_research_run_finds_the_planted_effect(spark, tmp_path):
     import json
 
